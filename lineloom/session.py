@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,4 +51,23 @@ def settle(df: DataFrame, label: str = "t") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package known to the Python workers of ``spark``, where their path does not hold it already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lineloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="lineloom-")
+    archive = os.path.join(folder, "lineloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for base, _, names in os.walk(os.path.join(root, "lineloom")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    out.write(path, os.path.relpath(path, root))
+    sc.addPyFile(archive)
+    sc._lineloom_shipped = True
