@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.session import table
 
-from . import repeated_lines, term_counts
+from . import garbled, lookalike, markup, repeated_lines, term_counts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +43,35 @@ def p3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("n > 1 and records > 2").select("n", "term", "occurrences", "records")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "subtitles")
+    return lookalike.same_looking_pairs(rows, "source_id", "line", ("clean_text",), leave_out=p1_found(spark, sf_dir))
+
+
+def p4_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "subtitles").select("row_id", "line", "clean_text").dropDuplicates(["row_id"])
+    return lookalike.with_uniform(rows, {"line": "uniform_line", "clean_text": "uniform_text"}).select("row_id", "uniform_line", "uniform_text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, sf_dir, "subtitles"), "line").select("row_id")
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, sf_dir, "subtitles"), "line")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for tab in ("subtitles", "custom"):
+        found = markup.markup_rows(table(spark, sf_dir, tab), "file", "line", captions=tab == "subtitles")
+        parts.append(found.select(F.lit(tab).alias("tab"), "row_id"))
+    return parts[0].unionByName(parts[1])
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_documents(table(spark, sf_dir, "custom"), "file", "line")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
