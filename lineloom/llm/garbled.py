@@ -289,7 +289,20 @@ def repair(text: str | None) -> tuple[bool, str | None, str | None]:
 
 
 def is_garbled(text: str | None) -> bool:
-    return repair(text)[0]
+    """Whether ``repair`` would report the text, without restoring it."""
+    if not text or text.isascii() or not _suspect().search(text):
+        return False
+    if _PRIVATE.search(text):
+        return True
+    covers: dict[int, int] = {}
+    for _, (size, numbers) in automaton().iter(text):
+        if size == 1:
+            return True
+        for number in numbers:
+            covers[number] = covers.get(number, 0) + size
+    most = max(covers.values(), default=0)
+    tried = sorted((k for k in covers if covers[k] * 3 >= most), key=lambda k: (-covers[k], k))[:5]
+    return any(_by_pair(text, number)[1] for number in tried)
 
 
 def find_garbled(df: DataFrame, text: str, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:

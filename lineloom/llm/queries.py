@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.session import table
 
-from . import garbled, lookalike, markup, repeated_lines, term_counts
+from . import garbled, language, lookalike, markup, repeated_lines, term_counts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,22 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_documents(table(spark, sf_dir, "custom"), "file", "line")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train_on(table(spark, sf_dir, "documents"))
+    return language.wrong_counts(table(spark, sf_dir, "files"), table(spark, sf_dir, "subtitles"), model)
+
+
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train_on(table(spark, sf_dir, "documents"))
+    return language.count_languages(table(spark, sf_dir, "subtitles"), "file", "line", model)
+
+
+def p7_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train_on(table(spark, sf_dir, "documents"))
+    rows = table(spark, sf_dir, "subtitles").select("row_id", "line").dropDuplicates(["row_id"])
+    found = language.label_lines(rows, "line", model, parts=True)
+    return found.select("row_id", "lang", F.posexplode("parts").alias("part", "p")).select("row_id", "lang", "part", "p.lang", "p.text", "p.confidence").toDF("row_id", "line_lang", "part", "lang", "text", "confidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
