@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.session import table
 
-from . import garbled, language, lookalike, markup, repeated_lines, term_counts
+from . import garbled, language, lookalike, markup, repeated_lines, scanned, term_counts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,18 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.remove_repeated_lines(rows, "folder", "file", "line").select("row_id", "file", "line")
 
 
+def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.volume_rows(table(spark, sf_dir, "manga"), table(spark, sf_dir, "manga_pages"), table(spark, sf_dir, "sources"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.find_noise(_volumes(spark, sf_dir))[1]
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.paragraphs(_volumes(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = term_counts.marked_terms(table(spark, sf_dir, "subtitles"), ("base_forms", "readings"))
     return found.filter("mark is not null").select("field", "term", "mark")
