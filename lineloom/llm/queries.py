@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.session import table
 
-from . import garbled, language, lookalike, markup, repeated_lines, scanned, term_counts
+from . import empty_texts, garbled, language, leaks, lookalike, markup, packing, repeated_lines, scanned, term_counts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +102,18 @@ def p7_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_id", "lang", F.posexplode("parts").alias("part", "p")).select("row_id", "lang", "part", "p.lang", "p.text", "p.confidence").toDF("row_id", "line_lang", "part", "lang", "text", "confidence")
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return empty_texts.empty_texts(documents, empty_texts.train_on(documents)).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
