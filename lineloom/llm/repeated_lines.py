@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.session import settle
@@ -122,34 +122,30 @@ def _documents(df: DataFrame, source: str, document: str) -> DataFrame:
     )
 
 
-def repeated_blocks(
-    df: DataFrame,
-    source: str,
-    document: str,
-    line: str,
-    row_id: str = "row_id",
-    min_documents: int = 4,
-    min_share: float = 0.3,
-    depths: tuple[int, ...] = (1, 2, 3),
-) -> DataFrame:
-    """Blocks of lines in many documents of their source: ``depth, block, src, in_documents, documents, example``.
+def _maximal(seq: np.ndarray, doc: np.ndarray, min_documents: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(depth, documents, places) of the common-prefix intervals in enough documents that neither side extends.
 
-    ``example`` is the smallest row at which the block begins. Cases as in ``line_blocks``.
+    Separators are the negative symbols, each of which occurs once.
     """
-    found = line_blocks(df, source, document, line, row_id, depths)
-    counted = (
-        found.groupBy("depth", "block", "src", "doc")
-        .agg(F.min("row_id").alias("row_id"))
-        .groupBy("depth", "block", "src")
-        .agg(F.count("*").cast("long").alias("in_documents"), F.min("row_id").alias("example"))
-        .filter(F.col("in_documents") >= min_documents)
-    )
-    return counted.join(_documents(df, source, document), "src").filter(
-        F.col("in_documents") >= F.col("documents") * min_share
-    )
+    index = SuffixIndex(seq)
+    order, lcp = index.order, np.append(index.lcp, 0).tolist()
+    before = np.where(order > 0, seq[order - 1], -1)
+    before[before < 0] = -1 - np.arange(len(before))[before < 0]
+    stack: list[tuple[int, int]] = []  # (common prefix, first place) of the open intervals
+    for i in range(1, len(lcp)):
+        first = i - 1
+        while stack and stack[-1][0] > lcp[i]:
+            depth, first = stack.pop()
+            if i - first >= min_documents and (before[first:i] != before[first]).any():
+                places = order[first:i]
+                documents = len(np.unique(doc[places]))
+                if documents >= min_documents:
+                    yield depth, documents, places
+        if lcp[i] and (not stack or stack[-1][0] < lcp[i]):
+            stack.append((lcp[i], first))
 
 
-def repeated_rows(
+def repeated_blocks(
     df: DataFrame,
     source: str,
     document: str,
@@ -158,7 +154,48 @@ def repeated_rows(
     min_documents: int = 4,
     min_share: float = 0.3,
 ) -> DataFrame:
-    """The rows that lie in a block of many documents: ``row_id``. Cases as in ``line_blocks``."""
+    """Maximal blocks of lines in many documents of their source: ``depth, block, src, in_documents, documents, example``.
+
+    Every line of such a block stands itself in as many documents, so the lines are counted over all tasks first and
+    only the repeated rows of a source come together, with their positions in the documents; a block is of any depth
+    and is maximal: no line before or after it stands with it everywhere. ``example`` is the smallest row at which
+    the block begins. Cases as in ``line_blocks``.
+    """
+    rows = settle(_repeated(df, source, document, line, row_id, min_documents, min_share), "repeated")
+    order = Window.partitionBy("doc").orderBy("row_id")
+    at = (
+        df.select(F.col(row_id).cast("long").alias("row_id"), F.xxhash64(F.lit("d"), F.col(source), F.col(document)).alias("doc"))
+        .filter("row_id is not null")
+        .dropDuplicates(["row_id"])
+        .withColumn("at", F.row_number().over(order))
+        .select("row_id", "at")
+    )
+    placed = rows.join(at, "row_id").join(_documents(df, source, document), "src")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc", "at"]).reset_index(drop=True)
+        doc, pos, n = frame["doc"].to_numpy(), frame["at"].to_numpy(), len(frame)
+        line_id, row, src = frame["block"].to_numpy(np.int64), frame["row_id"].to_numpy(), int(frame["src"].iloc[0])
+        total = int(frame["documents"].iloc[0])
+        ends = np.flatnonzero(np.append((doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1), True))
+        codes = np.unique(line_id, return_inverse=True)[1].astype(np.int64)
+        seq = np.insert(codes, ends + 1, -2 - np.arange(len(ends)))
+        back = np.insert(np.arange(n), ends + 1, 0)
+        found = []
+        for depth, documents, places in _maximal(seq, doc[back], min_documents):
+            if documents >= total * min_share:
+                members = back[places]
+                block = np.full(1, depth, np.int64)
+                for k in range(depth):
+                    block = _mix(block, line_id[members[:1] + k])
+                found.append((depth, int(block[0]), src, documents, total, int(row[members].min())))
+        return pd.DataFrame(found, columns=["depth", "block", "src", "in_documents", "documents", "example"])
+
+    return placed.groupBy("src").applyInPandas(run, "depth int, block long, src long, in_documents long, documents long, example long")
+
+
+def _repeated(df: DataFrame, source: str, document: str, line: str, row_id: str, min_documents: int, min_share: float) -> DataFrame:
+    """``block, src, doc, row_id`` of the lines in many documents of their source, each row once."""
     places = settle(
         line_blocks(df, source, document, line, row_id, (1,)).select("block", "src", "doc", "row_id"), "blocks"
     )
@@ -172,7 +209,20 @@ def repeated_rows(
         .filter(F.col("in_documents") >= F.col("documents") * min_share)
         .select("block")
     )
-    return places.select("block", "row_id").join(many, "block", "left_semi").select("row_id").distinct()
+    return places.join(many, "block", "left_semi").dropDuplicates(["row_id"])
+
+
+def repeated_rows(
+    df: DataFrame,
+    source: str,
+    document: str,
+    line: str,
+    row_id: str = "row_id",
+    min_documents: int = 4,
+    min_share: float = 0.3,
+) -> DataFrame:
+    """The rows that lie in a block of many documents: ``row_id``. Cases as in ``line_blocks``."""
+    return _repeated(df, source, document, line, row_id, min_documents, min_share).select("row_id")
 
 
 def remove_repeated_lines(df: DataFrame, source: str, document: str, line: str, row_id: str = "row_id", **kw) -> DataFrame:
