@@ -242,6 +242,18 @@ def _residue(text: str) -> int:
     return len(_RESIDUE.findall(text))
 
 
+_JOINED = regex.compile(r"(?<=[A-Za-zÀ-ž])[一-鿿가-힣]|[一-鿿가-힣](?=[A-Za-zÀ-ž])")
+
+
+def _odd(new: str, true: str) -> int:
+    """How many characters of a reading are uncommon in its encoding, or joined to Latin letters."""
+    han = _HAN_RE.findall(new)
+    trues = ("euc-jp", "gb18030", "big5") if true == "utf-8" else (true,)
+    count = len(han) - max(_common(han, t) for t in trues) + len(_JOINED.findall(new))
+    # the standard holds a syllable in two bytes, any other one only as a sequence of its letters
+    return count + sum(len(c.encode("euc-kr")) != 2 for c in _HANGUL_RE.findall(new))
+
+
 def _by_pair(text: str, number: int) -> tuple[str, int]:
     """The text with every span that one pair explains taken back, and the number of such spans."""
     hits = [(last + 1 - size, last + 1) for last, (size, pairs) in automaton().iter(text) if number in pairs]
@@ -269,9 +281,8 @@ def repair(text: str | None) -> tuple[bool, str | None, str | None]:
     if not covers and not certain:
         return False, None, None
     best = None
-    most = max(covers.values(), default=0)
-    # the pairs whose sequences cover most of the text
-    for number in sorted((k for k in covers if covers[k] * 3 >= most), key=lambda k: (-covers[k], k))[:5]:
+    # every pair of which a sequence is there, those that cover most of the text first
+    for number in sorted(covers, key=lambda k: (-covers[k], k)):
         new, total = text, 0
         for _ in range(3):
             new, spans = _by_pair(new, number)
@@ -279,7 +290,7 @@ def repair(text: str | None) -> tuple[bool, str | None, str | None]:
             if not spans or PAIRS[number][0] != "utf-8" or not _RESIDUE.search(new):
                 break
         if total:
-            score = (-_residue(new), len(_KANA_RE.findall(new)), len(_HAN_RE.findall(new)) + len(_HANGUL_RE.findall(new)), -number)
+            score = (-_residue(new), -_odd(new, PAIRS[number][0]), len(_KANA_RE.findall(new)), len(_HAN_RE.findall(new)) + len(_HANGUL_RE.findall(new)), -number)
             if best is None or score > best[0]:
                 best = (score, new, number)
     if best is None:  # a lost byte, a control character or one for private use tells without a reading
@@ -300,9 +311,7 @@ def is_garbled(text: str | None) -> bool:
             return True
         for number in numbers:
             covers[number] = covers.get(number, 0) + size
-    most = max(covers.values(), default=0)
-    tried = sorted((k for k in covers if covers[k] * 3 >= most), key=lambda k: (-covers[k], k))[:5]
-    return any(_by_pair(text, number)[1] for number in tried)
+    return any(_by_pair(text, number)[1] for number in sorted(covers, key=lambda k: (-covers[k], k)))
 
 
 def find_garbled(df: DataFrame, text: str, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
