@@ -217,14 +217,23 @@ class Node:
             parent.children.append(self)
 
 
-def read_tree(lines: list[str]) -> list[tuple[str, str, int, bool]]:
-    """For each line: (kind, clean text, heading depth or list depth, whether it belongs to the main content)."""
+_ITEM = r"\s*(?:[-*+]|\d{1,3}[.)])\s+\S|[*#:]+\s+\S|\s*<li\b|\s*\\item\b"
+_CAPTION_ITEM = r"\s*<li\b|\s*\\item\b"
+_CAPTION_MARK = r"^\s{0,3}#{1,6}\s+|^={2,}\s*|\s*={2,}\s*$|^\s*#+\s*$|\s#+\s*$"
+_MARK = r"^\s{0,3}(?:#{1,6}\s+|>+\s*)|^\s*[-*+]\s+(?:\[[ x]\]\s*)?|^=+\s*|\s*=+\s*$|^\s*#+\s*$|\s#+\s*$"
+
+
+def read_tree(lines: list[str], captions: bool = False) -> list[tuple[str, str, int, bool]]:
+    """For each line: (kind, clean text, heading depth or list depth, whether it belongs to the main content).
+
+    ``captions``: a leading dash, star, number or angle is what a caption says, no list or quote.
+    """
     root = Node("document", None)
     section, block, code, out = Node("section", root, 0), None, None, []
     stack = [section]
     for line in lines:
         kind, depth = "paragraph", 0
-        syntax = find_syntax(line)
+        syntax = find_syntax(line, captions)
         event = code_event(line, syntax) if line else None
         if code:
             if event == code or (code == "open" and event == "close"):
@@ -236,11 +245,11 @@ def read_tree(lines: list[str]) -> list[tuple[str, str, int, bool]]:
         elif hit := regex.match(r"\s{0,3}(#{1,6})\s+|(={2,6})[^=].*\2\s*$|\s*<h([1-6])\b|\\((?:sub)*)section", line):
             kind = "heading"
             depth = len(hit[1] or hit[2] or "") or int(hit[3] or 0) or (len(hit[4] or "") // 3 + 1)
-        elif regex.match(r"\s*(?:[-*+]|\d{1,3}[.)])\s+\S|[*#:]+\s+\S|\s*<li\b|\s*\\item\b", line):
+        elif regex.match(_CAPTION_ITEM if captions else _ITEM, line):
             kind, depth = "list", (len(line) - len(line.lstrip())) // 2 + 1
         elif regex.match(r"\s*(?:\||\{\||!.*!!)|.*<t[dhr]\b", line):
             kind = "table"
-        elif regex.match(r"\s{0,3}>", line):
+        elif not captions and regex.match(r"\s{0,3}>", line):
             kind = "quote"
         elif regex.search(r"\$\$|\\\[|\\begin\{(?:equation|align)|<math\b", line):
             kind = "formula"
@@ -261,7 +270,7 @@ def read_tree(lines: list[str]) -> list[tuple[str, str, int, bool]]:
             if block is None or block.kind != group:
                 block = Node(group, section)
             holder = block
-        bare = line if kind == "code" else clean_line(regex.sub(r"^\s{0,3}(?:#{1,6}\s+|>+\s*)|^\s*[-*+]\s+(?:\[[ x]\]\s*)?|^=+\s*|\s*=+\s*$|^\s*#+\s*$|\s#+\s*$", "", line))
+        bare = line if kind == "code" else clean_line(regex.sub(_CAPTION_MARK if captions else _MARK, "", line))
         if kind == "table":
             bare = " | ".join(p.strip() for p in regex.split(r"\|\|?|!!?|</t[dh]>", clean_line(regex.sub(r"</?t[dhr]\b[^<>]*>", "|", line))) if p.strip(" -:{}"))
         if kind in ("paragraph", "list", "quote") and bare:
@@ -289,22 +298,19 @@ def read_tree(lines: list[str]) -> list[tuple[str, str, int, bool]]:
     return result
 
 
-#: Lines of one document that are read as one tree.
-TREE_ROWS = 1 << 16
-
-
-def clean_documents(df: DataFrame, document: str, line: str, row_id: str = "row_id") -> DataFrame:
+def clean_documents(df: DataFrame, document: str, line: str, row_id: str = "row_id", captions: bool = False) -> DataFrame:
     """``row_id, document, kind, text, depth, main``: each line cleaned, with its part in the structure of its document.
 
     ``kind``: paragraph, heading, list, table, quote, code, code_begin, code_end, formula, syntax or blank; ``main``:
     it belongs to the best container or a sibling near it. Rows with one ``row_id`` come out once. A null line is
-    blank; a document longer than ``TREE_ROWS`` row numbers is read in such stretches; an empty table gives no rows.
+    blank; every document, of any length, is read whole by one task; an empty table gives no rows. ``captions`` as
+    in ``read_tree``.
     """
     schema = "row_id long, document string, kind string, text string, depth int, main boolean"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("row_id").sort_values("row_id")
-        tree = read_tree([x if isinstance(x, str) else "" for x in frame["line"]])
+        tree = read_tree([x if isinstance(x, str) else "" for x in frame["line"]], captions)
         return pd.DataFrame(
             {
                 "row_id": frame["row_id"].to_numpy(),
@@ -317,4 +323,4 @@ def clean_documents(df: DataFrame, document: str, line: str, row_id: str = "row_
         )
 
     taken = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(document).cast("string").alias("document"), F.col(line).cast("string").alias("line"))
-    return taken.filter("row_id is not null").groupBy("document", F.floor(F.col("row_id") / TREE_ROWS)).applyInPandas(run, schema)
+    return taken.filter("row_id is not null").groupBy("document").applyInPandas(run, schema)

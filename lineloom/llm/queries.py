@@ -82,7 +82,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_documents(table(spark, sf_dir, "custom"), "file", "line")
+    parts = []
+    for tab in ("subtitles", "custom"):
+        found = markup.clean_documents(table(spark, sf_dir, tab), "file", "line", captions=tab == "subtitles")
+        parts.append(found.select(F.lit(tab).alias("tab"), "*"))
+    return parts[0].unionByName(parts[1])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
