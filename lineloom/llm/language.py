@@ -365,10 +365,26 @@ def label_lines(df: DataFrame, text: str, model: Field, keys: tuple[str, ...] =
 
 
 def count_languages(df: DataFrame, document: str, text: str, model: Field, row_id: str = "row_id") -> DataFrame:
-    """``document, lines, ja, zh, mix, en, confidence`` per document; rows with one ``row_id`` count once."""
+    """``document, lines``, the counts of mix and of each language, ``confidence``, ``lang`` and ``lang_confidence``.
+
+    ``confidence`` is the mean of the lines. ``lang`` is the language (or mix) of the greatest sum of line confidences,
+    ``lang_confidence`` its share of the sums of all; both are null if no line has a language. Rows with one ``row_id``
+    count once.
+    """
+    kinds = ("ja", "zh", "mix", "en", *(x for x in LABELS if x not in ("ja", "zh", "en")))
     found = label_lines(df.select(row_id, document, text), text, model, (row_id, document)).dropDuplicates([row_id])
-    counts = [F.count_if(F.col("lang") == lab).alias(lab) for lab in ("ja", "zh", "mix", "en")]
-    return found.groupBy(document).agg(F.count("*").alias("lines"), *counts, F.avg(F.when(F.col("lang").isNotNull(), F.col("confidence"))).alias("confidence"))
+    counts = [F.count_if(F.col("lang") == lab).alias(lab) for lab in kinds]
+    sums = [F.sum(F.when(F.col("lang") == lab, F.col("confidence")).otherwise(0.0)).alias(f"__{lab}") for lab in kinds]
+    mean = F.avg(F.when(F.col("lang").isNotNull(), F.col("confidence"))).alias("confidence")
+    best = F.greatest(*[F.struct(F.col(f"__{lab}").alias("s"), F.lit(lab).alias("lang")) for lab in kinds])
+    total = sum((F.col(f"__{lab}") for lab in kinds), F.lit(0.0))
+    return (
+        found.groupBy(document)
+        .agg(F.count("*").alias("lines"), *counts, mean, *sums)
+        .withColumn("lang", F.when(total > 0, best["lang"]))
+        .withColumn("lang_confidence", F.when(total > 0, best["s"] / total))
+        .drop(*[f"__{lab}" for lab in kinds])
+    )
 
 
 def newest_rows(files: DataFrame) -> DataFrame:

@@ -99,6 +99,12 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.count_languages(table(spark, sf_dir, "subtitles"), "file", "line", model)
 
 
+def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train_on(table(spark, sf_dir, "documents"))
+    rows = table(spark, sf_dir, "subtitles").select("row_id", "line").dropDuplicates(["row_id"])
+    return language.label_lines(rows, "line", model)
+
+
 def p7_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train_on(table(spark, sf_dir, "documents"))
     rows = table(spark, sf_dir, "subtitles").select("row_id", "line").dropDuplicates(["row_id"])
