@@ -1,0 +1 @@
+"""Operators over DataFrames of lines and sources."""
