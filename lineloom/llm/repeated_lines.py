@@ -1,228 +1,164 @@
 """Problem 1: lines repeated across the documents of one source.
 
-Each task holds some whole runs of documents. It joins the identifiers of their lines (a hash of source
-and normalised line) to one sequence, a separator after every document, and builds its suffix array. The
-common-prefix intervals of depth d are the blocks of d lines that begin alike; from their members come the
-documents in which each block stands. Blocks of all tasks are then merged by their hash, so a source of
-any size is spread over all tasks, and blocks in many documents of their source are kept. A line of a
-block in many documents stands itself in as many, so the blocks of depth 1 cover all rows to delete; the
-longer blocks say which lines belong together (``repeated_blocks``).
+The lines of a source's documents are identifiers (hashes of the normalised line), joined to one sequence per
+document with a separator after it. Suffix ranks over all of them are built by prefix doubling: a place has a rank
+for the 2^k lines that begin there, made of the ranks of its two halves. Ranks are hashes, so no task needs the
+sequence of a whole source and a source of any size is spread over all tasks; a place is kept at a level only while
+the lines that begin there stand in enough documents, as every longer common prefix is at most as frequent. Going
+back down the levels gives each place its longest common prefix in enough documents. Places that only continue the
+block of the place before are dropped; the rest are the repeated blocks, of any length, and the rows that they cover
+are deleted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.operators.running import positions
 from lineloom.session import settle
 
-from .suffix import SuffixIndex
 from .visible import letters_only
 
-#: Rows of one document that stay together; a longer one is spread over several tasks.
-RUN_ROWS = 1 << 16
-#: Rows that a task joins to one sequence.
-SEQUENCE_ROWS = 200_000
-
-
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(0x7F4A7C15))
-        x ^= x >> np.uint64(29)
-        return (x * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-
-
-def _blocks_of(frame: pd.DataFrame, depths: tuple[int, ...], min_members: int) -> Iterator[pd.DataFrame]:
-    """The blocks of one sequence. Rows of depth 1 carry their row; of longer blocks only repeated ones are given."""
-    frame = frame.drop_duplicates("row_id").sort_values(["src", "doc", "row_id"], kind="stable")
-    keys = [letters_only(x) if x else "" for x in frame["line"].tolist()]
-    src, doc = frame["src"].to_numpy(np.int64), frame["doc"].to_numpy(np.int64)
-    line = _mix(np.array([xxhash.xxh64_intdigest(k) if k else 0 for k in keys], np.uint64).view(np.int64), src)
-    blank = np.array([not k for k in keys], bool)
-    n = len(frame)
-    # every document ends with a separator of its own; a line without letters is one too
-    ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) if n else np.zeros(0, np.int64)
-    codes = np.unique(line, return_inverse=True)[1].astype(np.int64)
-    codes[blank] = -2 - np.arange(n)[blank]
-    seq = np.insert(codes, ends + 1, -2 - n - np.arange(len(ends)))
-    at = np.insert(np.arange(n), ends + 1, -1)
-    index = SuffixIndex(seq, max(depths))
-    row = frame["row_id"].to_numpy(np.int64)
-    for depth in depths:
-        number, _ = index.intervals(depth)
-        # the members of every interval, separators left out
-        place = index.order
-        member = at[place]
-        ok = member >= 0
-        for step in range(depth):
-            inside = place + step < len(seq)
-            ok &= inside
-            ok[inside] &= seq[place[inside] + step] >= 0
-        place, member, number = place[ok], member[ok], number[ok]
-        if not len(place):
-            continue
-        block = np.full(len(place), depth, np.int64)
-        for step in range(depth):
-            block = _mix(block, line[at[place + step]])
-        out = pd.DataFrame(
-            {"depth": np.int32(depth), "block": block, "src": src[member], "doc": doc[member], "row_id": row[member]}
-        )
-        if depth > 1:
-            size = np.bincount(number, minlength=number.max() + 1)[number]
-            out = out[size >= min_members]
-        yield out
-
-
-def line_blocks(
-    df: DataFrame, source: str, document: str, line: str, row_id: str = "row_id", depths: tuple[int, ...] = (1,)
-) -> DataFrame:
-    """Places of the blocks of ``depths`` lines: ``depth, block, src, doc, row_id`` (hashes of block, source, document).
-
-    Rows given twice (same ``row_id``) count once. A null line or one without a letter is in no block; a null
-    source or document is one of its own. An empty table gives no rows. Other columns are not read.
+
+def line_ids(df: DataFrame, source: str, document: str, line: str, row_id: str = "row_id") -> DataFrame:
+    """``row_id, src, doc, name``: hashes of source, document and normalised line of each row, once each.
+
+    ``name`` is null for a null line or one without a letter. A null source or document is one of its own; rows
+    without a ``row_id`` are left out. Other columns are not read.
     """
-    schema = "depth int, block long, src long, doc long, row_id long"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
-        for frame in frames:
-            held.append(frame)
-            rows += len(frame)
-            if rows >= SEQUENCE_ROWS:
-                yield from _blocks_of(pd.concat(held), depths, 2)
-                held, rows = [], 0
-        if held:
-            yield from _blocks_of(pd.concat(held), depths, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [letters_only(x) if x else "" for x in batch.column(3).to_pylist()]
+            # a signed number, as the JVM reads it
+            names = [(xxhash.xxh64_intdigest(k) ^ 1 << 63) - (1 << 63) if k else None for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names, pa.int64())], names=["row_id", "src", "doc", "name"])
 
     taken = df.select(
         F.col(row_id).cast("long").alias("row_id"),
-        F.col(line).cast("string").alias("line"),
         F.xxhash64(F.lit("s"), F.col(source)).alias("src"),
         F.xxhash64(F.lit("d"), F.col(source), F.col(document)).alias("doc"),
+        F.col(line).cast("string").alias("line"),
     ).filter("row_id is not null")
-    spread = taken.repartition(F.col("doc"), F.floor(F.col("row_id") / RUN_ROWS))
-    return spread.mapInPandas(run, schema)
+    return taken.mapInArrow(run, "row_id long, src long, doc long, name long").dropDuplicates(["row_id"])
 
 
-def _documents(df: DataFrame, source: str, document: str) -> DataFrame:
+def _documents(ids: DataFrame) -> DataFrame:
     """Number of documents of each source."""
-    return (
-        df.select(
-            F.xxhash64(F.lit("s"), F.col(source)).alias("src"),
-            F.xxhash64(F.lit("d"), F.col(source), F.col(document)).alias("doc"),
-        )
-        .distinct()
-        .groupBy("src")
-        .agg(F.count("*").alias("documents"))
-    )
-
+    return ids.select("src", "doc").distinct().groupBy("src").agg(F.count("*").alias("documents"))
 
-def _maximal(seq: np.ndarray, doc: np.ndarray, min_documents: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(depth, documents, places) of the common-prefix intervals in enough documents that neither side extends.
 
-    Separators are the negative symbols, each of which occurs once.
-    """
-    index = SuffixIndex(seq)
-    order, lcp = index.order, np.append(index.lcp, 0).tolist()
-    before = np.where(order > 0, seq[order - 1], -1)
-    before[before < 0] = -1 - np.arange(len(before))[before < 0]
-    stack: list[tuple[int, int]] = []  # (common prefix, first place) of the open intervals
-    for i in range(1, len(lcp)):
-        first = i - 1
-        while stack and stack[-1][0] > lcp[i]:
-            depth, first = stack.pop()
-            if i - first >= min_documents and (before[first:i] != before[first]).any():
-                places = order[first:i]
-                documents = len(np.unique(doc[places]))
-                if documents >= min_documents:
-                    yield depth, documents, places
-        if lcp[i] and (not stack or stack[-1][0] < lcp[i]):
-            stack.append((lcp[i], first))
-
-
-def repeated_blocks(
-    df: DataFrame,
-    source: str,
-    document: str,
-    line: str,
-    row_id: str = "row_id",
-    min_documents: int = 4,
-    min_share: float = 0.3,
-) -> DataFrame:
-    """Maximal blocks of lines in many documents of their source: ``depth, block, src, in_documents, documents, example``.
-
-    Every line of such a block stands itself in as many documents, so the lines are counted over all tasks first and
-    only the repeated rows of a source come together, with their positions in the documents; a block is of any depth
-    and is maximal: no line before or after it stands with it everywhere. ``example`` is the smallest row at which
-    the block begins. Cases as in ``line_blocks``.
-    """
-    rows = settle(_repeated(df, source, document, line, row_id, min_documents, min_share), "repeated")
-    order = Window.partitionBy("doc").orderBy("row_id")
-    at = (
-        df.select(F.col(row_id).cast("long").alias("row_id"), F.xxhash64(F.lit("d"), F.col(source), F.col(document)).alias("doc"))
-        .filter("row_id is not null")
-        .dropDuplicates(["row_id"])
-        .withColumn("at", F.row_number().over(order))
-        .select("row_id", "at")
-    )
-    placed = rows.join(at, "row_id").join(_documents(df, source, document), "src")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc", "at"]).reset_index(drop=True)
-        doc, pos, n = frame["doc"].to_numpy(), frame["at"].to_numpy(), len(frame)
-        line_id, row, src = frame["block"].to_numpy(np.int64), frame["row_id"].to_numpy(), int(frame["src"].iloc[0])
-        total = int(frame["documents"].iloc[0])
-        ends = np.flatnonzero(np.append((doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1), True))
-        codes = np.unique(line_id, return_inverse=True)[1].astype(np.int64)
-        seq = np.insert(codes, ends + 1, -2 - np.arange(len(ends)))
-        back = np.insert(np.arange(n), ends + 1, 0)
-        found = []
-        for depth, documents, places in _maximal(seq, doc[back], min_documents):
-            if documents >= total * min_share:
-                members = back[places]
-                block = np.full(1, depth, np.int64)
-                for k in range(depth):
-                    block = _mix(block, line_id[members[:1] + k])
-                found.append((depth, int(block[0]), src, documents, total, int(row[members].min())))
-        return pd.DataFrame(found, columns=["depth", "block", "src", "in_documents", "documents", "example"])
-
-    return placed.groupBy("src").applyInPandas(run, "depth int, block long, src long, in_documents long, documents long, example long")
-
-
-def _repeated(df: DataFrame, source: str, document: str, line: str, row_id: str, min_documents: int, min_share: float) -> DataFrame:
-    """``block, src, doc, row_id`` of the lines in many documents of their source, each row once."""
-    places = settle(
-        line_blocks(df, source, document, line, row_id, (1,)).select("block", "src", "doc", "row_id"), "blocks"
-    )
-    many = (
-        places.select("block", "src", "doc")
+def _frequent(places: DataFrame, name: str, documents: DataFrame, min_documents: int, min_share: float) -> DataFrame:
+    """``src, name, in_documents`` of the names that stand in enough documents of their source."""
+    return (
+        places.select("src", "doc", name)
         .distinct()
-        .groupBy("block", "src")
+        .groupBy("src", name)
         .agg(F.count("*").alias("in_documents"))
         .filter(F.col("in_documents") >= min_documents)
-        .join(_documents(df, source, document), "src")
+        .join(documents, "src")
         .filter(F.col("in_documents") >= F.col("documents") * min_share)
-        .select("block")
+        .drop("documents")
     )
-    return places.join(many, "block", "left_semi").dropDuplicates(["row_id"])
-
-
-def repeated_rows(
-    df: DataFrame,
-    source: str,
-    document: str,
-    line: str,
-    row_id: str = "row_id",
-    min_documents: int = 4,
-    min_share: float = 0.3,
-) -> DataFrame:
-    """The rows that lie in a block of many documents: ``row_id``. Cases as in ``line_blocks``."""
-    return _repeated(df, source, document, line, row_id, min_documents, min_share).select("row_id")
+
+
+class Blocks:
+    """The repeated blocks of a table and the places they cover."""
+
+    def __init__(self, ids: DataFrame, min_documents: int, min_share: float):
+        self.documents = settle(_documents(ids), "documents")
+        self._least = (min_documents, min_share)
+        lettered = ids.filter("name is not null")
+        single = lettered.join(_frequent(lettered, "name", self.documents, *self._least).drop("in_documents"), ["src", "name"], "left_semi")
+        # positions count all rows of a document, so that a line which is not repeated parts its neighbours
+        placed = positions(ids.select("doc", "row_id"), ["doc"], "row_id").select("row_id", "at")
+        self.places = settle(single.join(placed, "row_id").select("src", "doc", "at", "row_id", "name"), "places")
+        self.levels = [self.places.select("src", "doc", "at", "name")]
+        while True:
+            width, last = 1 << (len(self.levels) - 1), self.levels[-1]
+            joined = self._joined(last, last, F.lit(width), "name").drop("name").withColumnRenamed("longer", "name")
+            level = settle(joined.join(_frequent(joined, "name", self.documents, *self._least).drop("in_documents"), ["src", "name"], "left_semi"), "level")
+            if level.isEmpty():
+                break
+            self.levels.append(level.select("src", "doc", "at", "name"))
+        self.starts = settle(self._starts(), "starts")
+
+    @staticmethod
+    def _joined(places: DataFrame, level: DataFrame, ahead, name: str) -> DataFrame:
+        """Places whose block is followed, ``ahead`` lines on, by a block of ``level``; ``longer`` names the two together."""
+        after = level.select(F.col("doc").alias("__doc"), F.col("at").alias("__at"), F.col("name").alias("__name"))
+        both = places.join(after, (F.col("doc") == F.col("__doc")) & (F.col("at") + ahead == F.col("__at")))
+        return both.withColumn("longer", F.xxhash64(name, "__name")).drop("__doc", "__at", "__name")
+
+    def _starts(self) -> DataFrame:
+        """``src, doc, at, depth, name, parts``: the longest repeated block of each place that does not lie in the one before.
+
+        ``parts`` has the rank of each of the halves it is made of, the longest first.
+        """
+        top = len(self.levels) - 1
+        at = self.levels[top].select("src", "doc", "at", F.lit(1 << top).cast("long").alias("depth"), "name", F.array("name").alias("parts"))
+        for k in range(top - 1, -1, -1):
+            # places that have no block yet begin with this level, others try to grow by it
+            fresh = self.levels[k].join(at, ["doc", "at"], "left_anti").select("src", "doc", "at", F.lit(1 << k).cast("long").alias("depth"), "name", F.array("name").alias("parts"))
+            after = self.levels[k].select(F.col("doc").alias("__doc"), F.col("at").alias("__at"), F.col("name").alias("__name"))
+            grown = at.join(after, (F.col("doc") == F.col("__doc")) & (F.col("at") + F.col("depth") == F.col("__at")))
+            grown = grown.select("src", "doc", "at", (F.col("depth") + (1 << k)).alias("depth"), F.xxhash64("name", "__name").alias("name"), F.concat("parts", F.array("__name")).alias("parts"))
+            grown = grown.join(_frequent(grown, "name", self.documents, *self._least).drop("in_documents"), ["src", "name"], "left_semi").select("src", "doc", "at", "depth", "name", "parts")
+            at = settle(at.join(grown, ["doc", "at"], "left_anti").unionByName(grown).unionByName(fresh), "longest")
+        before = at.select("doc", (F.col("at") + 1).alias("at"), F.col("depth").alias("before"))
+        return at.join(before, ["doc", "at"], "left").filter(F.col("before").isNull() | (F.col("before") < F.col("depth") + 1)).drop("before")
+
+    def covered(self) -> DataFrame:
+        """``row_id`` of all rows in the blocks."""
+        inside = self.starts.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("depth") - 1)).alias("at")).distinct()
+        return self.places.join(inside, ["doc", "at"], "left_semi").select("row_id")
+
+    def blocks(self) -> DataFrame:
+        """``depth, block, src, in_documents, documents, example`` of each block, counted wherever it stands."""
+        named = self.starts.select("src", "depth", "name", "parts").dropDuplicates(["src", "depth", "name"])
+        found = None
+        for k, level in enumerate(self.levels):
+            here = named.filter((F.col("depth") >= 1 << k) & (F.col("depth") < 2 << k))
+            first = level.select("src", "doc", F.col("at").alias("begin"), F.col("name").alias("__first"))
+            hits = here.join(first.withColumnRenamed("src", "__src"), (F.col("src") == F.col("__src")) & (F.col("parts")[0] == F.col("__first"))).drop("__src", "__first")
+            hits = hits.withColumn("held", F.lit(1 << k).cast("long")).withColumn("part", F.lit(1))
+            for lower in range(k - 1, -1, -1):
+                bit = F.floor(F.col("depth") / (1 << lower)) % 2 == 1
+                after = self.levels[lower].select(F.col("doc").alias("__doc"), F.col("at").alias("__at"), F.col("name").alias("__name"))
+                grown = hits.filter(bit).join(after, (F.col("doc") == F.col("__doc")) & (F.col("begin") + F.col("held") == F.col("__at")) & (F.expr("parts[part]") == F.col("__name")), "left_semi")
+                hits = grown.withColumn("held", F.col("held") + (1 << lower)).withColumn("part", F.col("part") + 1).unionByName(hits.filter(~bit))
+            found = hits if found is None else found.unionByName(hits)
+        rows = found.join(self.places.select("doc", F.col("at").alias("begin"), "row_id"), ["doc", "begin"])
+        each = rows.groupBy("src", "depth", "name", "doc").agg(F.min("row_id").alias("row_id"))
+        counted = each.groupBy("src", "depth", "name").agg(F.count("*").alias("in_documents"), F.min("row_id").alias("example"))
+        return counted.join(self.documents, "src").select(F.col("depth").cast("int").alias("depth"), F.col("name").alias("block"), "src", "in_documents", "documents", "example")
+
+
+def find_blocks(
+    df: DataFrame, source: str, document: str, line: str, row_id: str = "row_id", min_documents: int = 4, min_share: float = 0.3
+) -> Blocks:
+    """The blocks of lines in at least ``min_documents`` documents and ``min_share`` of those of their source.
+
+    Lines without a letter, and null ones, are in no block and part their neighbours. Rows given twice count once. An
+    empty table has no blocks. Cases else as in ``line_ids``.
+    """
+    return Blocks(settle(line_ids(df, source, document, line, row_id), "lines"), min_documents, min_share)
+
+
+def repeated_blocks(df: DataFrame, source: str, document: str, line: str, row_id: str = "row_id", **kw) -> DataFrame:
+    """``depth, block, src, in_documents, documents, example``: blocks that are the longest at some place and do not only
+    continue another there; counted in all documents that hold them. ``example`` is the smallest row at which it begins."""
+    return find_blocks(df, source, document, line, row_id, **kw).blocks()
+
+
+def repeated_rows(df: DataFrame, source: str, document: str, line: str, row_id: str = "row_id", **kw) -> DataFrame:
+    """``row_id`` of the rows that lie in a repeated block."""
+    return find_blocks(df, source, document, line, row_id, **kw).covered()
 
 
 def remove_repeated_lines(df: DataFrame, source: str, document: str, line: str, row_id: str = "row_id", **kw) -> DataFrame:
