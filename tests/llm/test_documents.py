@@ -1,6 +1,7 @@
 """Problems 8, 9 and 10 on small cases of known answer."""
 
 from lineloom.llm import empty_texts, leaks, packing
+from lineloom.session import local_session, ship
 
 
 def test_every_query_is_registered():
@@ -34,9 +35,37 @@ def test_half_of_a_passage_is_found_also_where_changed():
 
 
 def test_empty_texts_but_not_those_that_speak_of_them():
-    model = empty_texts.train([("Access denied.", 2), ("Lorem ipsum", 3), ("{{name}}", 1), ("The wind rose again.", 0)])
-    judge = lambda t: empty_texts.judge(t, model)
+    model = empty_texts.train([("Access denied.", None, 2), ("Lorem ipsum", None, 3), ("{{name}}", None, 1), ("The wind rose again.", None, 0)])
+    judge = lambda t: empty_texts.judge([t], [None], model)[0]
     assert judge("Title\nAccess denied. Your request was blocked by the gateway.") == "notice"
     assert judge("暑い日だった。\n丸い椅子だな、{series_name}？") == "slot"
     assert judge("著者：N/A\n巻数：--") == "slot"
     assert judge("In a mail merge you would type {{name}} and the clerk fills it in, the manual explains.\nThe wind rose again.") is None
+    assert judge(None) is None and judge("") is None and judge("\n \n") is None
+
+
+def test_a_long_text_is_read_to_its_end():
+    model = empty_texts.train([("{{name}}", None, 1), ("The wind rose again.", None, 0)] * 5)
+    assert empty_texts.judge(["The wind rose again. " * 20_000 + "It was {{weather}}."], [None], model) == ["slot"]
+
+
+def test_held_out_sources_are_labelled():
+    spark = local_session(2, 8)
+    ship(spark)
+    rows = []
+    for i in range(400):
+        text = ["The wind rose again over the harbour.", "Access denied. Please log in to continue.", "Lorem ipsum dolor sit amet.", "Dear {{name}}, your {{item}} waits."][i % 4]
+        rows.append((i, f"Chapter {i}\n{text} Number {i}.", f"source {i % 23}", f"Title {i}"))
+    found = empty_texts.validation(spark.createDataFrame(rows, "doc_id long, text string, source string, title string"))
+    assert len(found) == 4 and all(right >= 0.9 * max(pieces, guessed) for _, pieces, guessed, right in found)
+
+
+def test_empty_table_and_rows_given_twice():
+    spark = local_session(2, 8)
+    ship(spark)
+    schema = "doc_id long, text string, source string, title string, kind string"
+    empty = spark.createDataFrame([], schema)
+    assert empty_texts.empty_texts(empty, empty_texts.train_on(empty)).count() == 0
+    rows = [(1, "Access denied.", "s", None, "x")] * 2 + [(2, None, None, None, None), (None, "Lorem ipsum", "s", "t", "y")]
+    df = spark.createDataFrame(rows, schema)
+    assert [tuple(r) for r in empty_texts.empty_texts(df, empty_texts.train_on(df)).collect()] == [(1, "notice")]
