@@ -26,6 +26,8 @@ SHAPES = {"wide": (5, 4), "narrow": (10, 6)}
 TELLING, GAP = 2, 12
 #: Share of a passage that a document must hold.
 HELD = 0.5
+#: Characters of all passages together, up to which they may go to every worker.
+PASSAGE_CHARS = 20_000_000
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,7 +104,7 @@ class Passages:
         found = np.zeros(len(asked), bool)
         last: dict[int, int] = {}  # end in the passage of the newest run, by its distance from the document's place
         for p in np.flatnonzero(tells).tolist():
-            for q in places.get(int(hashes[p]), ())[:64]:
+            for q in places.get(int(hashes[p]), ()):
                 found[p : p + k] = True
                 for d in range(-4, 5):
                     end = last.get(q - p + d)
@@ -139,8 +141,12 @@ class Passages:
 def leaked_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, item_id, held``: the documents that hold at least half of a passage. Rows of one key count once.
 
-    Null and empty texts and passages hold nothing. The passages, a fixed small table, go to every worker.
+    Null and empty texts and passages hold nothing. The passages go to every worker: more than PASSAGE_CHARS of them
+    are refused, not cut; give them in several calls.
     """
+    size = items.agg(F.sum(F.length("passage")).alias("n")).first()["n"] or 0
+    if size > PASSAGE_CHARS:
+        raise ValueError(f"{size} characters of passages, more than {PASSAGE_CHARS}")
     passages = Passages([(int(r[0]), r[1]) for r in items.select("item_id", "passage").filter("item_id is not null").distinct().collect()])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
