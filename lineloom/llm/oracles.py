@@ -19,12 +19,17 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _TERMS
         + """SELECT field, term, CASE WHEN records <= 2 THEN 'rare' ELSE 'common' END AS mark FROM counted
         WHERE records <= 2 OR records > 0.04 * (SELECT count(*) FROM once)""",
+        "p8_totals": """
+WITH once AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)
+SELECT pack_id, capacity, count(*) AS documents, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars,
+  count(*) FILTER (WHERE strlen(text) + 1 > capacity) AS cut, CAST(0 AS BIGINT) AS over
+FROM once, pack_sizes GROUP BY pack_id, capacity""",
         "p3_ngrams": """
 WITH once AS (SELECT row_id, any_value(base_forms) AS t FROM subtitles GROUP BY row_id),
 lists AS (SELECT row_id, list_filter(string_split_regex(t, '[ \\t\u3000]+'), lambda x: x <> '') AS l FROM once WHERE t IS NOT NULL),
 grams AS (
   SELECT row_id, n, array_to_string(list_slice(l, i, i + n - 1), ' ') AS term
-  FROM (SELECT row_id, l, unnest([2, 3]) AS n FROM lists) a, unnest(range(1, 1000)) r(i) WHERE i + n - 1 <= len(l))
+  FROM (SELECT row_id, l, unnest([2, 3]) AS n FROM lists) a, unnest(range(1, (SELECT max(len(l)) FROM lists) + 1)) r(i) WHERE i + n - 1 <= len(l))
 SELECT CAST(n AS INTEGER) AS n, term, count(*) AS occurrences, count(DISTINCT row_id) AS records
 FROM grams GROUP BY n, term HAVING count(DISTINCT row_id) > 2""",
     }

@@ -143,3 +143,15 @@ def pack_documents(df: DataFrame, packs: DataFrame) -> DataFrame:
     once = settle(_packed(settle(items, "items"), "a"), "packed")
     again = _packed(settle(once.filter(F.col("fill") < FULL).drop("container", "fill"), "again"), "b")
     return once.filter(F.col("fill") >= FULL).unionByName(again).drop("fill")
+
+
+def packed_totals(packed: DataFrame) -> DataFrame:
+    """``pack_id, capacity, documents, chars, cut, over, containers``: what the containers of each pack hold together.
+
+    ``cut``: texts in several pieces; ``over``: containers above their capacity, which must be 0.
+    """
+    texts = packed.groupBy("pack_id", "capacity", "doc_id").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("pieces"))
+    whole = texts.groupBy("pack_id", "capacity").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"), F.count_if(F.col("pieces") > 1).alias("cut"))
+    held = packed.groupBy("pack_id", "capacity", "container").agg(F.sum("tokens").alias("tokens"))
+    full = held.groupBy("pack_id").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("over"), F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
+    return whole.join(full, "pack_id")

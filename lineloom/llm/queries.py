@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.session import table
+from lineloom.session import settle, table
 
 from . import empty_texts, garbled, language, leaks, lookalike, markup, packing, repeated_lines, scanned, term_counts
 
@@ -116,6 +116,15 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_totals(settle(p8_pack(spark, sf_dir), "packs")).select("pack_id", "capacity", "documents", "chars", "cut", "over")
+
+
+def p8_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed_totals(settle(p8_pack(spark, sf_dir), "packs"))
+    return found.select("pack_id", "containers", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("unused"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
