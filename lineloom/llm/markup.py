@@ -1,13 +1,14 @@
 """Problem 6: formatting syntax left in lines of text, and clean text that keeps its structure.
 
-A line is read by one pattern for the syntax of HTML, Markdown, wiki text, LaTeX and subtitle styling.
-``markup_rows`` gives the rows with syntax; what stands inside a code block is left out, found by the
-events (a block opened, a block closed) of the flagged rows alone, so no file is gathered in one place.
-
-``clean_documents`` reads the lines of one document as a tree: document, sections by heading, and below them
-lists, tables, quotes, code and paragraphs. A paragraph passes points for its length and its commas to its
-parent and half of them to the grandparent, less its share of linked text. The best container and those
-siblings whose points come near it are the content; the rest (navigation, link lists) is marked.
+A line is read by one pattern for the syntax of HTML, Markdown, wiki text, LaTeX and subtitle styling. The lines of one
+document are read as a tree: document, sections by heading, and below them lists, tables, quotes, code and paragraphs. A
+paragraph passes points for its length and its commas to the container it stands in and half of them to the section, less
+its share of linked text. The best section and those siblings whose points come near it are the content; the rest
+(navigation, link lists) is marked.
+
+What a line is by itself is found line by line, without moving it. What depends on the lines before it (inside code, number
+of the section, of the container) is a running value within the document, and points are sums by container and section, so
+a document of any length is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from __future__ import annotations
 import html
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.operators.running import running
+from lineloom.session import settle
+
 from .garbled import repair
 from .visible import shown
 
@@ -44,7 +47,7 @@ _INLINE = "|".join(
         rf"(?P<entity>{_ENTITY})",
         rf"(?P<bracket>\[/?(?i:{'|'.join(BRACKET_TAGS)})(?:=[^\]]*)?\])",
         r"(?P<style>\{\\[^}]*(?:\}|$))",
-        r"(?P<bold>\*\*(?=\S)[^*]+?(?<=\S)\*\*|__(?=[^_\s])[^_]+?(?<=[^_\s])__)",
+        r"(?P<bold>\*\*(?=\S)[^*]+?(?<=\S)\*\*|(?<![A-Za-z0-9_])__(?=[^_\s])[^_]+?(?<=[^_\s])__(?![A-Za-z0-9_]))",
         r"(?P<strike>~~(?=\S)[^~]+~~)",
         r"(?P<quotes>'''?(?=[^'\s])[^']+'''?)",
         r"(?P<image>!\[[^\]]*\]\([^)\s]*(?:\s[^)]*)?\))",
@@ -111,60 +114,18 @@ def code_event(line: str, kind: str | None) -> str | None:
     return None if opens == closes else "open" if opens else "close"
 
 
-def flagged_rows(df: DataFrame, document: str, line: str, row_id: str = "row_id", captions: bool = False) -> DataFrame:
-    """Rows with syntax, before those inside code are left out: ``row_id, document, syntax, event``."""
-    schema = "row_id long, document long, syntax string, event string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                kind = find_syntax(text, captions)
-                if kind:
-                    found.append((i, kind, code_event(text, kind)))
-            rows = pa.array([f[0] for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())],
-                names=["row_id", "document", "syntax", "event"],
-            )
-
-    taken = df.select(F.col(row_id).cast("long").alias("row_id"), F.xxhash64(document).alias("document"), F.col(line).cast("string").alias("line"))
-    return taken.filter("line is not null and row_id is not null").mapInArrow(run, schema).dropDuplicates(["row_id"])
-
-
-def markup_rows(df: DataFrame, document: str, line: str, row_id: str = "row_id", captions: bool = False) -> DataFrame:
-    """Rows whose line holds formatting syntax: ``row_id, syntax``. ``captions``: subtitle lines, in which a leading
-    dash or star is no list.
-
-    Lines inside a code block are left out, those that open or close it are not. A block that is never closed is
-    none. Rows with one ``row_id`` count once; null and empty lines, and an empty table, give no rows; documents
-    null in common count as one. Other columns are not read.
-    """
-    flagged = flagged_rows(df, document, line, row_id, captions)
-    order = Window.partitionBy("document").orderBy("row_id")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    marks = []
-    for fence in ("```", "~~~"):
-        hit = F.when(F.col("event") == fence, 1).otherwise(0)
-        marks.append((F.coalesce(F.sum(hit).over(before), F.lit(0)) % 2 == 1) & (F.coalesce(F.sum(hit).over(Window.partitionBy("document").orderBy(F.desc("row_id")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0))
-    named = F.when(F.col("event").isin("open", "close"), F.col("event"))
-    last = F.last(named, ignorenulls=True).over(before)
-    following = F.last(named, ignorenulls=True).over(Window.partitionBy("document").orderBy(F.desc("row_id")).rowsBetween(Window.unboundedPreceding, -1))
-    marks.append((last == "open") & (following == "close"))
-    inside = marks[0] | marks[1] | F.coalesce(marks[2], F.lit(False))
-    return (
-        flagged.withColumn("__inside", inside & (F.col("event").isNull() | ~F.col("event").isin("```", "~~~", "close")))
-        .filter("not __inside")
-        .select("row_id", "syntax")
-    )
-
-
 # ---------------------------------------------------------------- clean text and structure
 
 _STRIP = regex.compile(_INLINE)
 _LINK = regex.compile(r"<a\b[^<>]*>(.*?)</a>|(?<!!)\[([^\]]*)\]\([^)]*\)|\[\[(?:[^\]|]*\|)?([^\]]*)\]\]")
 
 
+# LaTeX commands that show nothing, those that show their last argument, and templates that show their first.
+HIDDEN = "cite citep citet label ref eqref pageref vspace hspace includegraphics item begin end noindent maketitle tableofcontents newpage clearpage usepackage documentclass centering par".split()
+SHOWN = "textbf textit emph underline texttt textsc textsf textrm textsl text mbox section subsection subsubsection paragraph chapter title author caption footnote href textcolor colorbox uline".split()
+FIRST_ARGUMENT = "ruby ふりがな 読み仮名 r".split()
+
+
 def _inline(hit: regex.Match) -> str:
     kind, text = hit.lastgroup, hit.group()
     if kind == "entity":
@@ -180,6 +141,12 @@ def _inline(hit: regex.Match) -> str:
     if kind == "wikilink":
         inner = text[2:-2]
         return "" if regex.match(r"(?i)(?:category|file|image|カテゴリ|ファイル|画像)\s*:", inner) else inner.split("|")[-1]
+    if kind == "template":
+        name, *rest = text[2:-2].split("|")
+        shown_ones = [x for x in rest if "=" not in x]
+        if not shown_ones or regex.match(r"(?i)\s*(?:cite|citation|infobox|出典)", name):
+            return ""
+        return shown_ones[0] if name.strip().lower() in FIRST_ARGUMENT else shown_ones[-1]
     if kind == "tick":
         return text[1:-1]
     if kind == "escape":
@@ -188,33 +155,29 @@ def _inline(hit: regex.Match) -> str:
         return text
     if kind == "command":
         name = regex.match(r"~?\\([A-Za-z]+)", text)
-        if not name or name[1] in ("cite", "label", "ref", "vspace", "hspace", "includegraphics"):
+        given = regex.findall(r"\{([^{}]*)\}", text)
+        if not name or name[1] in HIDDEN:
             return ""
-        return " ".join(regex.findall(r"\{([^{}]*)\}", text)[:1])
+        if given and (name[1] in SHOWN or len(given) == 1 and len(name[1]) > 2 and name[1] not in ("sqrt", "frac", "hat", "bar", "vec")):
+            return given[-1]
+        return text  # a formula
     if kind == "linebreak":
         return "" if text.startswith("\\\\") else "\n" if text[1] in "Nn" else " "
     return ""
 
 
-def clean_line(line: str) -> str:
-    """The text of one line without inline syntax; formulas stay."""
-    for _ in range(3):  # escaped tags become tags first
+_STARS = regex.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]+?)(?<=[^\s*])\1(?![\w*])|(?<![\w\\])_(?=[^\s_])([^_\n]+?)(?<=[^\s_])_(?!\w)")
+
+
+def clean_line(line: str, stars: bool = False) -> str:
+    """The text of one line without inline syntax; formulas stay. ``stars``: also marks of emphasis by one star or line."""
+    while True:  # escaped tags become tags first
+        if stars:
+            line = _STARS.sub(lambda m: m[2] or m[3], line)
         new = _STRIP.sub(_inline, line)
         if new == line:
-            break
+            return line.strip()
         line = new
-    return line.strip()
-
-
-class Node:
-    """A container of the document tree."""
-
-    __slots__ = ("kind", "parent", "score", "children", "depth")
-
-    def __init__(self, kind: str, parent: Node | None, depth: int = 0):
-        self.kind, self.parent, self.score, self.children, self.depth = kind, parent, 0.0, [], depth
-        if parent:
-            parent.children.append(self)
 
 
 _ITEM = r"\s*(?:[-*+]|\d{1,3}[.)])\s+\S|[*#:]+\s+\S|\s*<li\b|\s*\\item\b"
@@ -223,104 +186,115 @@ _CAPTION_MARK = r"^\s{0,3}#{1,6}\s+|^={2,}\s*|\s*={2,}\s*$|^\s*#+\s*$|\s#+\s*$"
 _MARK = r"^\s{0,3}(?:#{1,6}\s+|>+\s*)|^\s*[-*+]\s+(?:\[[ x]\]\s*)?|^=+\s*|\s*=+\s*$|^\s*#+\s*$|\s#+\s*$"
 
 
-def read_tree(lines: list[str], captions: bool = False) -> list[tuple[str, str, int, bool]]:
-    """For each line: (kind, clean text, heading depth or list depth, whether it belongs to the main content).
+def read_line(line: str, captions: bool = False) -> tuple[str | None, str | None, str, str, int, float]:
+    """(syntax, code event, kind, clean text, heading or list depth, points) of a line that does not stand inside code.
 
     ``captions``: a leading dash, star, number or angle is what a caption says, no list or quote.
     """
-    root = Node("document", None)
-    section, block, code, out = Node("section", root, 0), None, None, []
-    stack = [section]
-    for line in lines:
-        kind, depth = "paragraph", 0
-        syntax = find_syntax(line, captions)
-        event = code_event(line, syntax) if line else None
-        if code:
-            if event == code or (code == "open" and event == "close"):
-                kind, code = "code_end", None
-            else:
-                kind = "code"
-        elif event in ("```", "~~~", "open"):
-            kind, code = "code_begin", event
-        elif hit := regex.match(r"\s{0,3}(#{1,6})\s+|(={2,6})[^=].*\2\s*$|\s*<h([1-6])\b|\\((?:sub)*)section", line):
-            kind = "heading"
-            depth = len(hit[1] or hit[2] or "") or int(hit[3] or 0) or (len(hit[4] or "") // 3 + 1)
-        elif regex.match(_CAPTION_ITEM if captions else _ITEM, line):
-            kind, depth = "list", (len(line) - len(line.lstrip())) // 2 + 1
-        elif regex.match(r"\s*(?:\||\{\||!.*!!)|.*<t[dhr]\b", line):
-            kind = "table"
-        elif not captions and regex.match(r"\s{0,3}>", line):
-            kind = "quote"
-        elif regex.search(r"\$\$|\\\[|\\begin\{(?:equation|align)|<math\b", line):
-            kind = "formula"
-        elif not line.strip():
-            kind = "blank"
-        elif syntax and not clean_line(line):
-            kind = "syntax"
-        if kind == "heading":
-            while len(stack) > 1 and stack[-1].depth >= depth:
-                stack.pop()
-            section = Node("section", stack[-1].parent if stack[-1].depth >= depth else stack[-1], depth)
-            stack.append(section)
-            block = None
-        if kind in ("blank", "heading"):
-            holder, block = section, None
-        else:
-            group = kind if kind in ("list", "table", "quote") else "code" if kind.startswith("code") else "flow"
-            if block is None or block.kind != group:
-                block = Node(group, section)
-            holder = block
-        bare = line if kind == "code" else clean_line(regex.sub(_CAPTION_MARK if captions else _MARK, "", line))
-        if kind == "table":
-            bare = " | ".join(p.strip() for p in regex.split(r"\|\|?|!!?|</t[dh]>", clean_line(regex.sub(r"</?t[dhr]\b[^<>]*>", "|", line))) if p.strip(" -:{}"))
-        if kind in ("paragraph", "list", "quote") and bare:
-            linked = sum(len(a or b or c) for a, b, c in _LINK.findall(line))
-            points = (1 + sum(bare.count(c) for c in ",，、,") + min(len(bare) / 50, 3)) * (1 - min(1, linked / len(bare)))
-            holder.score += points
-            if holder.parent:
-                holder.parent.score += points / 2
-        out.append((kind, bare, depth, holder))
-    nodes, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        nodes.append(node)
-        todo += node.children
-    best = max((n for n in nodes if n.kind == "section"), key=lambda n: n.score, default=root)
-    kept = {id(best)}
-    for node in nodes:
-        if node.kind == "section" and node.score >= 0.2 * best.score:
-            kept.add(id(node))
-    result = []
-    for kind, bare, depth, holder in out:
-        owner = holder if holder.kind == "section" else holder.parent
-        main = id(owner) in kept and not (holder.kind in ("flow", "list") and holder.score <= 0 and kind in ("paragraph", "list"))
-        result.append((kind, bare, depth, main))
-    return result
+    syntax = find_syntax(line, captions)
+    event = code_event(line, syntax) if line else None
+    kind, depth = "paragraph", 0
+    if hit := regex.match(r"\s{0,3}(#{1,6})\s+|(={2,6})[^=].*\2\s*$|\s*<h([1-6])\b|\\((?:sub)*)section", line):
+        kind = "heading"
+        depth = len(hit[1] or hit[2] or "") or int(hit[3] or 0) or (len(hit[4] or "") // 3 + 1)
+    elif regex.match(_CAPTION_ITEM if captions else _ITEM, line):
+        kind, depth = "list", (len(line) - len(line.lstrip())) // 2 + 1
+    elif regex.match(r"\s*(?:\||\{\||!.*!!)|.*<t[dhr]\b", line):
+        kind = "table"
+    elif not captions and regex.match(r"\s{0,3}>", line):
+        kind = "quote"
+    elif regex.search(r"\$\$|\\\[|\\begin\{(?:equation|align)|<math\b", line):
+        kind = "formula"
+    elif not line.strip():
+        kind = "blank"
+    elif event in ("```", "~~~") or syntax and not clean_line(line):
+        kind = "syntax"
+    if event in ("```", "~~~"):
+        bare = line.strip(" \t`~")  # the name of the language
+    elif kind == "table":
+        cells = clean_line(regex.sub(r"</?t[dhr]\b[^<>]*>", "|", line))
+        bare = " | ".join(p.strip() for p in regex.split(r"\|\|?|!!?", cells) if p.strip(" -:{}"))
+    else:
+        bare = clean_line(regex.sub(_CAPTION_MARK if captions else _MARK, "", line), not captions)
+    points = 0.0
+    if kind in ("paragraph", "list", "quote") and bare.strip():
+        linked = sum(len(a or b or c) for a, b, c in _LINK.findall(line))
+        points = (1 + sum(bare.count(c) for c in ",，、") + min(len(bare) / 50, 3)) * (1 - min(1, linked / len(bare.replace(" ", ""))))
+    return syntax, event, kind, bare, depth, points
+
+
+def _read(df: DataFrame, document: str, line: str, row_id: str, captions: bool) -> DataFrame:
+    """``read_line`` of every row, once each, with ``inside``: whether it stands inside a code block that is closed."""
+    schema = "row_id long, document string, line string, syntax string, event string, kind string, text string, depth int, points double"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 4 + [pa.int32(), pa.float64()]
+        for batch in batches:
+            found = [read_line(x or "", captions) for x in batch.column(2).to_pylist()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["row_id", "document", "line", "syntax", "event", "kind", "text", "depth", "points"])
 
-def clean_documents(df: DataFrame, document: str, line: str, row_id: str = "row_id", captions: bool = False) -> DataFrame:
-    """``row_id, document, kind, text, depth, main``: each line cleaned, with its part in the structure of its document.
-
-    ``kind``: paragraph, heading, list, table, quote, code, code_begin, code_end, formula, syntax or blank; ``main``:
-    it belongs to the best container or a sibling near it. Rows with one ``row_id`` come out once. A null line is
-    blank; every document, of any length, is read whole by one task; an empty table gives no rows. ``captions`` as
-    in ``read_tree``.
+    taken = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(document).cast("string").alias("document"), F.col(line).cast("string").alias("line"))
+    rows = settle(taken.filter("row_id is not null").dropDuplicates(["row_id"]).mapInArrow(run, schema), "lines")
+    # what holds after each event; events are few beside the lines
+    named = F.when(F.col("event").isin("open", "close"), F.col("event"))
+    fences = {name: F.when(F.col("event") == mark, 1).otherwise(0) for name, mark in (("ticks", "```"), ("tildes", "~~~"))}
+    events = settle(rows.filter("event is not null"), "events")
+    events = running(events, ["document"], "row_id", sums=fences, lasts={"last": named})
+    events = running(settle(events, "events"), ["document"], "row_id", sums={f"{n}_after": e for n, e in fences.items()}, lasts={"next": named}, backward=True, inclusive=False)
+    holds = F.lit(False)
+    for name in fences:
+        holds = holds | ((F.col(name) % 2 == 1) & (F.col(f"{name}_after") > 0))
+    holds = holds | F.coalesce((F.col("last") == "open") & (F.col("next") == "close"), F.lit(False))
+    events = events.withColumn("holds", holds).select(*rows.columns, "holds")
+    whole = settle(rows.filter("event is null").withColumn("holds", F.lit(None).cast("boolean")).unionByName(events), "states")
+    return running(whole, ["document"], "row_id", lasts={"inside": F.col("holds")}, inclusive=False).withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+#: Sections with this share of the best one's points belong to the content.
+NEAR = 0.2
+
+
+def read_trees(df: DataFrame, document: str, line: str, row_id: str = "row_id", captions: bool = False) -> DataFrame:
+    """``row_id, document, syntax, kind, text, depth, section, container, main`` of every line.
+
+    ``kind``: paragraph, heading, list, table, quote, code, code_begin, code_end, formula, syntax or blank; ``main``: it
+    belongs to the best section or a sibling near it. ``syntax`` is null for lines without any and for those inside a code
+    block, its marks left out; a block that is never closed is none. Rows with one ``row_id`` come out once, those without
+    are left out. A null line is blank; null documents are one document; an empty table gives no rows. Lines and documents
+    of any length are read whole. ``captions`` as in ``read_line``.
     """
-    schema = "row_id long, document string, kind string, text string, depth int, main boolean"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("row_id").sort_values("row_id")
-        tree = read_tree([x if isinstance(x, str) else "" for x in frame["line"]], captions)
-        return pd.DataFrame(
-            {
-                "row_id": frame["row_id"].to_numpy(),
-                "document": frame["document"].to_numpy(),
-                "kind": [t[0] for t in tree],
-                "text": [t[1] for t in tree],
-                "depth": pd.array([t[2] for t in tree], "int32"),
-                "main": [t[3] for t in tree],
-            }
-        )
+    rows = _read(df, document, line, row_id, captions)
+    begins = ~F.col("inside") & F.coalesce(F.col("holds"), F.lit(False))
+    ends = F.col("inside") & F.coalesce(~F.col("holds"), F.lit(False)) & F.col("event").isin("```", "~~~", "close")
+    kind = F.when(begins, "code_begin").when(ends, "code_end").when(F.col("inside"), "code").otherwise(F.col("kind"))
+    marks = F.col("event").isin("```", "~~~", "close")
+    rows = rows.withColumn("syntax", F.when(F.col("inside") & ~F.coalesce(marks, F.lit(False)), None).otherwise(F.col("syntax")))
+    rows = rows.withColumn("code", F.col("inside") & ~ends).withColumn("kind", kind).withColumn("text", F.when(F.col("code"), F.col("line")).otherwise(F.col("text")))
+    rows = rows.withColumn("points", F.when(F.col("kind").isin("paragraph", "list", "quote"), F.col("points")).otherwise(0.0))
+    rows = rows.withColumn("depth", F.when(F.col("kind").isin("heading", "list"), F.col("depth")).otherwise(0))
+    group = F.when(F.col("kind").isin("blank", "heading"), "").when(F.col("kind").isin("list", "table", "quote"), F.col("kind")).when(F.col("kind").startswith("code"), "code").otherwise("flow")
+    heading = F.when(F.col("kind") == "heading", 1).otherwise(0)
+    rows = settle(rows.withColumn("group", group).drop("line", "code", "holds", "inside", "event"), "kinds")
+    rows = running(rows, ["document"], "row_id", sums={"section": heading}, lasts={"before": F.col("group")}, inclusive=False)
+    rows = settle(rows.withColumn("section", F.col("section") + heading), "sections")
+    new = F.when((F.col("group") != "") & (F.coalesce(F.col("before"), F.lit("")) != F.col("group")), 1).otherwise(0)
+    rows = settle(running(rows, ["document"], "row_id", sums={"container": new}).withColumn("__d", F.xxhash64("document")), "containers")
+    own = rows.filter("group <> ''").groupBy("__d", "container").agg(F.sum("points").alias("own"), F.min("section").alias("section"))
+    sections = own.groupBy("__d", "section").agg((F.sum("own") / 2).alias("total"))
+    best = sections.groupBy("__d").agg(F.max("total").alias("best"))
+    near = sections.join(best, "__d").select("__d", "section", (F.col("total") >= NEAR * F.col("best")).alias("near"))
+    rows = rows.join(near, ["__d", "section"], "left").join(own.select("__d", "container", "own"), ["__d", "container"], "left")
+    dead = F.col("group").isin("flow", "list") & F.col("kind").isin("paragraph", "list") & (F.coalesce("own", F.lit(0.0)) <= 0)
+    main = F.coalesce("near", F.lit(True)) & ~dead
+    return rows.select("row_id", "document", "syntax", "kind", "text", "depth", "section", F.when(F.col("group") != "", F.col("container")).alias("container"), main.alias("main"))
 
-    taken = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(document).cast("string").alias("document"), F.col(line).cast("string").alias("line"))
-    return taken.filter("row_id is not null").groupBy("document").applyInPandas(run, schema)
+
+def markup_rows(df: DataFrame, document: str, line: str, row_id: str = "row_id", captions: bool = False) -> DataFrame:
+    """Rows whose line holds formatting syntax: ``row_id, syntax``, from the trees. Cases as in ``read_trees``."""
+    return read_trees(df, document, line, row_id, captions).filter("syntax is not null").select("row_id", "syntax")
+
+
+def clean_documents(df: DataFrame, document: str, line: str, row_id: str = "row_id", captions: bool = False) -> DataFrame:
+    """``row_id, document, kind, text, depth, main``: each line cleaned, with its part in the structure of its document."""
+    return read_trees(df, document, line, row_id, captions).select("row_id", "document", "kind", "text", "depth", "main")
