@@ -45,7 +45,7 @@ _INLINE = "|".join(
     (
         rf"(?P<tag>{_TAG})",
         rf"(?P<entity>{_ENTITY})",
-        rf"(?P<bracket>\[/?(?i:{'|'.join(BRACKET_TAGS)})(?:=[^\]]*)?\])",
+        rf"(?P<bracket>\[/?(?i:{'|'.join(BRACKET_TAGS)})(?:=[^\]]*)?\](?!\([^)\s]*[./#:]))",
         r"(?P<style>\{\\[^}]*(?:\}|$))",
         r"(?P<bold>\*\*(?=\S)[^*]+?(?<=\S)\*\*|(?<![A-Za-z0-9_])__(?=[^_\s])[^_]+?(?<=[^_\s])__(?![A-Za-z0-9_]))",
         r"(?P<strike>~~(?=\S)[^~]+~~)",
