@@ -4,7 +4,9 @@ A line is cut into words (runs of one script). A linear-chain conditional random
 a word are its characters and pairs of them, its first and last ones, and which national character sets hold it
 (the lexicon); two transition matrices are learned, within a clause and across a gap of space or punctuation.
 Forward-backward gives the probability of each language for each word. The field is trained here, on a bounded
-sample of labelled documents and on lines joined from them, as no labelled mixed text is at hand.
+sample of lines of labelled documents and on lines joined from them, as no labelled mixed text is at hand; lines made of the
+lexicon's words teach it languages that the documents lack, which get the label other. ``held_out`` trains without a fifth of
+the sources and tells how well it labels theirs.
 """
 
 from __future__ import annotations
@@ -19,29 +21,48 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineloom.session import settle
+
 from .garbled import is_garbled
 from .lookalike import LOOKALIKES
 from .markup import clean_line, find_syntax
 from .visible import shown
 
-LABELS = ("ja", "zh", "en", "fr", "de", "es", "ko")
-#: Labelled documents that training takes, those of the smallest hashes, and the characters of the longest of them.
+LABELS = ("ja", "zh", "en", "fr", "de", "es", "ko", "other")
+#: Labelled documents (about) from whose lines training chooses, and the characters of the longest of them.
 TRAIN_DOCUMENTS, TRAIN_CHARS = 2000, 20_000
-#: Lines of one language, and joined lines of two, that training takes.
-TRAIN_LINES, TRAIN_JOINED = 500, 250
+#: Lines of one language, joined lines of two, lines made of lexicon words, and words of the longest line that training takes.
+TRAIN_LINES, TRAIN_JOINED, TRAIN_MADE, TRAIN_WORDS = 500, 250, 120, 60
+#: Of the sources, one in so many is held out by ``held_out``.
+HELD_OUT = 5
 SLOTS = 1 << 15
 ROUNDS = 45
 
 # Frequent short words of languages written in Latin letters.
 FUNCTION_WORDS = {
     "en": "the of and to in is was by with for on at from that this it are be or not an as had has have you we they he she his her "
-    "their there where when why who which what would could should must will can us me my our your so if then than",
-    "fr": "le la les un une des du de et est était dans pour avec sur que qui ne pas au aux ce cette il elle nous vous ils où sont son sa ses",
-    "de": "der die das den dem des ein eine einen und ist war nicht mit für auf von zu im am dass ich er sie wir ihr über hinter warum als",
-    "es": "el la los las un una unos y es era en para con por que no del al este esta donde su sus lo se muy qué dónde él ella",
+    "their there where when why who which what would could should must will can us me my our your so if then than i am do did been "
+    "were but about into out up down all some any very just because while through these those don't i'm it's",
+    "fr": "le la les un une des du de et est était dans pour avec sur que qui ne pas au aux ce cette il elle nous vous ils où sont son "
+    "sa ses je tu suis es mais donc comme tout plus bien être avoir fait très aussi chez sans sous mon ma mes leur quand pourquoi "
+    "aujourd'hui c'est j'ai qu'il n'est d'un l'on ont avez sommes elles ça",
+    "de": "der die das den dem des ein eine einen und ist war nicht mit für auf von zu im am dass ich er sie wir ihr über hinter warum "
+    "als es du bin bist sind sein haben hat auch noch nur aber oder wenn wie was wer wo nach bei aus um durch gegen ohne sehr schon "
+    "mein dein kein heute immer wird werden",
+    "es": "el la los las un una unos y es era en para con por que no del al este esta donde su sus lo se muy qué dónde él ella yo tú "
+    "estoy está están son soy pero como más todo sin sobre entre cuando porque hay tiene había mi tu nos les también hoy siempre",
+    # Italian, Portuguese, Dutch, Swedish, Polish, Turkish, Russian and Indonesian
+    "other": "il lo gli uno di che non sono è nella della degli questo questa come più ma anche perché molto sempre oggi io mio tua "
+    "o os um uma não em na no da dos das com para você eu meu são está isso mas também muito quando porque "
+    "het een van niet met voor op dat deze ik jij wij zijn heeft maar ook hoe waar wat wie naar geen mijn "
+    "och att det som på är inte jag du vi har för med till av om kan hur var när mitt "
+    "i w na nie się jest to że jak ale czy co tak dla tylko już mój był ma "
+    "ve bir bu da ne için çok ama ben sen değil gibi daha mi var yok olan "
+    "и в не на я что он с как это но по из мы вы она у так же был "
+    "yang dan di ini itu dengan untuk tidak dari saya kami akan pada ada",
 }
 
-_WORD = regex.compile(r"[ぁ-ゖゝゞ]+|[ァ-ヺー]+|[一-鿿㐀-䶿々〆]+|[가-힣]+|[\p{Latin}\p{M}]+(?:['’]\p{Latin}+)*")
+_WORD = regex.compile(r"[ぁ-ゖゝゞ]+|[ァ-ヺー]+|[一-鿿㐀-䶿々〆]+|[가-힣]+|[\p{Latin}\p{M}]+(?:['’]\p{Latin}+)*|[\p{Cyrillic}\p{Greek}]+")
 _KANA = regex.compile(r"[ぁ-ゖァ-ヺ]")
 _HIRA = regex.compile(r"[ぁ-ゖ]")
 _HAN = regex.compile(r"[一-鿿㐀-䶿]")
@@ -163,7 +184,7 @@ class Field:
         at = 0
         while at < len(order):
             longest, stop = len(lines[order[at]][0]), at
-            while stop < len(order) and stop - at < 4096 and len(lines[order[stop]][0]) <= max(longest + 2, longest * 5 // 4):
+            while stop < len(order) and (stop == at or (stop - at) * len(lines[order[stop]][0]) <= 65_536) and len(lines[order[stop]][0]) <= max(longest + 2, longest * 5 // 4):
                 stop += 1
             part = order[at:stop]
             size = np.array([len(lines[i][0]) for i in part])
@@ -229,8 +250,16 @@ def train(samples: Iterable[tuple[str, str]], seed: int = 7) -> Field:
         elif (label in ("ja", "zh") and han < 2) or (label in ("en", "fr", "de", "es") and (han or latin < 8)) or label == "ko" or label not in pool:
             continue
         w, g = words(text)
-        if w and len(w) <= 60:
+        if w and len(w) <= TRAIN_WORDS:
             pool[label].append((w, g))
+    if not any(pool.values()):
+        return Field(np.zeros((SLOTS, len(LABELS)), np.float32), np.zeros((2,) + (len(LABELS),) * 2, np.float32), np.zeros(len(LABELS), np.float32))
+    # lines of lexicon words: the sample need not hold them
+    for label, own in _FUNCTION.items():
+        listed = sorted(own)
+        for _ in range(TRAIN_MADE):
+            made = [listed[i] for i in rng.integers(len(listed), size=6)]
+            pool[label].append((made, [True] * len(made)))
     lines, golds = [], []
     for label, own in pool.items():
         keep = [own[i] for i in rng.permutation(len(own))[:TRAIN_LINES]]
@@ -251,10 +280,6 @@ def train(samples: Iterable[tuple[str, str]], seed: int = 7) -> Field:
     k = len(LABELS)
     model = Field(np.zeros((SLOTS, k), np.float32), np.zeros((2, k, k), np.float32), np.zeros(k, np.float32))
     model.moves += 2 * np.eye(k, dtype=np.float32)
-    for lang in _FUNCTION:  # the lexicon counts from the start: the sample need not hold its words
-        model.weights[_slot(f"L{lang}"), LABELS.index(lang)] = 4
-    if not lines:
-        return model
     vocab: dict[str, int] = {}
     coded = [[vocab.setdefault(w, len(vocab)) for w in ws] for ws, _ in lines]
     lists = [features(w) for w in vocab]
@@ -298,16 +323,48 @@ def train(samples: Iterable[tuple[str, str]], seed: int = 7) -> Field:
     return model
 
 
-def train_on(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Field:
-    """Train a field on a bounded sample of labelled documents: TRAIN_DOCUMENTS of the smallest key hashes."""
-    rows = (
-        documents.filter(F.col(label).isin(*LABELS) & F.col(text).isNotNull() & (F.length(text) <= TRAIN_CHARS))
-        .select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(key).alias("h"))
-        .orderBy("h")
-        .limit(TRAIN_DOCUMENTS)
-        .collect()
+def _samples(documents: DataFrame, text: str, label: str, key: str, host: str | None, out: bool) -> list[tuple[str, str]]:
+    """(line, label) of about TRAIN_DOCUMENTS documents taken by hash; ``out``: of the held-out sources, else of the others.
+
+    Lines are chosen in Spark, by hash, for each label; what comes to the driver has a fixed bound.
+    """
+    known = documents.filter(F.col(label).isin(*LABELS) & F.col(text).isNotNull() & (F.length(text) <= TRAIN_CHARS))
+    if host is not None:
+        known = known.filter((F.pmod(F.xxhash64(host), F.lit(HELD_OUT)) == 0) == F.lit(out))
+    every = max(1, known.count() // TRAIN_DOCUMENTS)
+    lines = (
+        known.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0)
+        .select(F.col(label).alias("label"), F.explode(F.split(text, "\n")).alias("line"))
+        .filter("trim(line) <> ''")
+        .distinct()
+        .withColumn("h", F.xxhash64("line"))
     )
-    return train((line, r["label"]) for r in rows for line in r["text"].split("\n") if line.strip())
+    lines = settle(lines, "lines")
+    # kanji alone are few among Japanese lines, and what must be told from Chinese
+    bare = (F.col("label") == "ja") & ~F.col("line").rlike("[ぁ-ゖァ-ヺ]")
+    wanted = [F.col("label") == x for x in LABELS] + [bare]
+    rows = {(r["line"], r["label"]) for w in wanted for r in lines.filter(w).orderBy("h", "line").limit(4 * TRAIN_LINES).collect()}
+    return sorted(rows)
+
+
+def train_on(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Field:
+    """Train a field on a bounded sample of lines of labelled documents."""
+    return train(_samples(documents, text, label, key, None, False))
+
+
+def held_out(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", host: str = "source") -> DataFrame:
+    """``lang, lines, right, confidence``: lines of held-out sources by their document's label, how many a field trained on the
+    other sources labels so, and the mean confidence it gives."""
+    model = train(_samples(documents, text, label, key, host, False))
+    rows = [(x, y) for x, y in _samples(documents, text, label, key, host, True) if len(words(plain(x))[0]) > 1]
+    cut = [words(plain(x)) for x, _ in rows]
+    tally: dict[str, list[float]] = {}
+    for (_, y), (w, _), m in zip(rows, cut, model.decode(cut), strict=True):
+        found, sure, _ = line_language(w, *m)
+        t = tally.setdefault(y, [0, 0, 0.0])
+        t[0], t[1], t[2] = t[0] + 1, t[1] + (found == y), t[2] + sure
+    out = [(y, int(n), int(right), round(sure / n, 4)) for y, (n, right, sure) in sorted(tally.items())]
+    return documents.sparkSession.createDataFrame(out, "lang string, lines long, right long, confidence double")
 
 
 def line_language(w: list[str], best: list[int], top: list[float], parts: bool = False) -> tuple[str | None, float, list[tuple[str, str, float]]]:
@@ -371,8 +428,12 @@ def count_languages(df: DataFrame, document: str, text: str, model: Field, row_i
     ``lang_confidence`` its share of the sums of all; both are null if no line has a language. Rows with one ``row_id``
     count once.
     """
-    kinds = ("ja", "zh", "mix", "en", *(x for x in LABELS if x not in ("ja", "zh", "en")))
     found = label_lines(df.select(row_id, document, text), text, model, (row_id, document)).dropDuplicates([row_id])
+    return _by_document(found, document)
+
+
+def _by_document(found: DataFrame, document: str) -> DataFrame:
+    kinds = ("ja", "zh", "mix", "en", *(x for x in LABELS if x not in ("ja", "zh", "en")))
     counts = [F.count_if(F.col("lang") == lab).alias(lab) for lab in kinds]
     sums = [F.sum(F.when(F.col("lang") == lab, F.col("confidence")).otherwise(0.0)).alias(f"__{lab}") for lab in kinds]
     mean = F.avg(F.when(F.col("lang").isNotNull(), F.col("confidence"))).alias("confidence")
@@ -387,6 +448,20 @@ def count_languages(df: DataFrame, document: str, text: str, model: Field, row_i
     )
 
 
+def label_documents(df: DataFrame, model: Field, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+    """``doc_id, recorded, lang, confidence, lines, fault``: the language of each document; ``fault``: missing, wrong or null.
+
+    The language is that of the greatest sum of line confidences. Rows of one key count once; null and blank texts, and such
+    without words, have none. A record is wrong where another language was found.
+    """
+    once = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(label).alias("recorded")).dropDuplicates(["doc_id"])
+    lines = once.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
+    found = _by_document(label_lines(lines, "line", model, ("doc_id",)), "doc_id").select("doc_id", "lines", "lang", F.col("lang_confidence").alias("confidence"))
+    both = once.select("doc_id", "recorded").join(found, "doc_id", "left")
+    fault = F.when(F.col("lang").isNull(), None).when(F.col("recorded").isNull(), "missing").when(F.col("recorded") != F.col("lang"), "wrong")
+    return both.select("doc_id", "recorded", "lang", "confidence", F.coalesce("lines", F.lit(0)).alias("lines"), fault.alias("fault"))
+
+
 def newest_rows(files: DataFrame) -> DataFrame:
     """The newest row of each file: highest ``file_mtime_ns``, exact duplicates once."""
     order = Window.partitionBy("media", "relpath").orderBy(F.desc("file_mtime_ns"), F.desc("format_version"))

@@ -112,6 +112,15 @@ def p7_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_id", "lang", F.posexplode("parts").alias("part", "p")).select("row_id", "lang", "part", "p.lang", "p.text", "p.confidence").toDF("row_id", "line_lang", "part", "lang", "text", "confidence")
 
 
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.label_documents(documents, language.train_on(documents))
+
+
+def p7_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out(table(spark, sf_dir, "documents"))
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
@@ -134,5 +143,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return empty_texts.empty_texts(documents, empty_texts.train_on(documents)).select("doc_id")
 
 
+def p10_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = empty_texts.validation(table(spark, sf_dir, "documents"))
+    return spark.createDataFrame(found, "label string, pieces long, found long, right long")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
