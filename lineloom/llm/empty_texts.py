@@ -24,8 +24,9 @@ from lineloom.session import settle
 from .visible import shown
 
 LABELS = ("text", "slot", "notice", "filler")
-#: Documents (about), and pieces of each label, from which is trained; hashed features; rounds of training; the L2 penalty.
-TRAIN_DOCUMENTS, TRAIN_PIECES, SLOTS, ROUNDS, PENALTY = 20_000, 1500, 1 << 15, 120, 1e-5
+#: Documents (about), and pieces of each label, from which is trained; bits of a hashed feature; rounds of training; the L2 penalty.
+TRAIN_DOCUMENTS, TRAIN_PIECES, SLOT_BITS, ROUNDS, PENALTY = 20_000, 1500, 15, 120, 1e-5
+SLOTS = 1 << SLOT_BITS
 #: Share of a text's lines, by characters, that must be notice or filler, the least certainty of a line no phrase decides,
 #: and the chance of being no text from which a line is suspected.
 MOST, CERTAIN, SUSPECT = 0.5, 0.8, 0.05
@@ -106,7 +107,7 @@ def features(codes: np.ndarray, piece: np.ndarray, starts: np.ndarray) -> Iterat
             run = run[:-1] * np.uint64(0x9E3779B97F4A7C15) + plain[n - 1 :]
             inside = piece[: len(run)] == piece[n - 1 :]
             mixed = (run[inside] ^ (run[inside] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            yield piece[: len(run)][inside], (mixed >> np.uint64(40)).astype(np.int64) % SLOTS
+            yield piece[: len(run)][inside], (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def extras(texts: list[str], titles: list[str | None], codes: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -136,9 +137,11 @@ class Model:
         codes, piece, starts, owner = pieces(texts)
         total, count = np.zeros((len(starts), len(LABELS))), np.ones(len(starts))
         for at, slot in features(codes, piece, starts):
-            count += np.bincount(at, minlength=len(starts))
-            for k in range(len(LABELS)):
-                total[:, k] += np.bincount(at, self.weights[slot, k], len(starts))
+            if len(at):
+                # the pieces come in order, so each is one stretch
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                total[at[first]] += np.add.reduceat(self.weights[slot], first, axis=0)
+                count[at[first]] += np.diff(np.append(first, len(at)))
         total /= np.sqrt(count)[:, None]
         for at, slot in extras(texts, titles, codes, starts, owner):
             total[at] += self.weights[slot]
