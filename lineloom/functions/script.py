@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 #: Ranges of kanji, in the notation of a character class.
-KANJI = r"一-鿿㐀-䶿豈-﫿\x{20000}-\x{323AF}々"
+KANJI = "一-鿿㐀-䶿\uf900-\ufaff" + r"\x{20000}-\x{323AF}々"
+#: The same with the characters themselves.
+KANJI_LITERAL = "一-鿿㐀-䶿\uf900-\ufaff\U00020000-\U000323af々"
 # Characters that only Chinese lines hold.
 CHINESE_MARKS = "們们这說说麼么吗嗎沒谁给哪呢吧啊你妳"
 
@@ -64,7 +66,7 @@ def fold_compat(col: Column | str) -> Column:
     """Compatibility ideographs replaced by the ideograph they stand for."""
     col = F.col(col) if isinstance(col, str) else col
     old, new = _compatibility()
-    return F.when(col.rlike("[豈-﫿\\x{2F800}-\\x{2FA1F}]"), F.translate(col, old, new)).otherwise(col)
+    return F.when(col.rlike("[\uf900-\ufaff\\x{2F800}-\\x{2FA1F}]"), F.translate(col, old, new)).otherwise(col)
 
 
 @lru_cache

@@ -1,0 +1 @@
+"""Readers: tables, files of captions, books, scanned pages, plain text, Markdown and word lists."""
