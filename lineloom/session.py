@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,27 +30,53 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "line
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one below the working folder where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if "local" not in spark.sparkContext.master or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        found = os.path.join(tempfile.gettempdir(), f"lineloom-{os.getuid()}")
+        found = tempfile.mkdtemp(prefix="lineloom-")
+        atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders that ``settle`` wrote, by application.
+_settled: dict[str, list[str]] = {}
+
+
 def settle(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and survives lost executors.
 
-    Use it where a result is read more than once and is dear to compute.
+    Use it where a result is read more than once and is dear to compute. ``release`` takes the folders away again; what is not
+    released goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    own = _settled.setdefault(spark.sparkContext.applicationId, [])
+    if not own:
+        atexit.register(_forget, spark)
+    own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Take away all that ``settle`` wrote in this application, once the results made from it are written; how many folders."""
+    own = _settled.pop(spark.sparkContext.applicationId, [])
+    for path in own:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(own)
+
+
+def _forget(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # the session may have ended before
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     ship(spark)
@@ -61,7 +89,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lineloom_shipped", False):
         return
-    folder = tempfile.mkdtemp(prefix="lineloom-")
+    folder = tempfile.mkdtemp(prefix="lineloom-")  # on the driver alone; Spark sends the file itself
+    atexit.register(shutil.rmtree, folder, True)
     archive = os.path.join(folder, "lineloom.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for base, _, names in os.walk(os.path.join(root, "lineloom")):

@@ -116,13 +116,13 @@ READ = StructType(
 @F.pandas_udf(READ)
 def read_column(contents: pd.Series) -> pd.DataFrame:
     """``read_captions`` of file contents; ``error`` is the reason where a file cannot be read. Null is unreadable."""
-    rows = []
+    rows, none = [], dict.fromkeys(READ.names)
     for raw in contents:
         try:
-            rows.append(read_captions(bytes(raw)) if raw is not None else {"error": "unreadable"})
+            rows.append(read_captions(bytes(raw)) if raw is not None else none | {"error": "unreadable"})
         except Unreadable as error:
-            rows.append({"error": error.reason, "sha": hashlib.sha256(bytes(raw)).hexdigest(), "bytes": len(raw)})
-    return pd.DataFrame(rows, columns=READ.names).astype({"bytes": "Int64"})
+            rows.append(none | {"error": error.reason, "sha": hashlib.sha256(bytes(raw)).hexdigest(), "bytes": len(raw)})
+    return pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype="Int64" if c == "bytes" else object) for c in READ.names})
 
 
 @F.pandas_udf(BooleanType())

@@ -53,12 +53,14 @@ def document_lines(documents: DataFrame) -> DataFrame:
     ``gap_before``: a blank line, or several, stand before. Base forms are the lower-case words. A null text has no lines.
     """
     split = F.split(F.col("text"), r"\r\n|[\n\r]")
-    cells = F.transform(split, lambda x, i: F.struct(i.cast("long").alias("row_id"), x.alias("line"), F.when(i > 0, F.trim(F.element_at(split, i.cast("int"))) == "").otherwise(F.lit(False)).alias("gap_before")))
-    rows = documents.select(F.col("doc_id").alias("source_id"), F.col("source").alias("folder"), F.explode(F.filter(cells, lambda c: F.trim(c["line"]) != "")).alias("c"))
+    # each line beside the one before it; looking that up by number would split the text again for every line
+    beside = F.arrays_zip(split.alias("line"), F.concat(F.array(F.lit("-")), split).alias("before"))
+    rows = documents.select(F.col("doc_id").alias("source_id"), F.col("source").alias("folder"), F.posexplode(beside).alias("row_id", "c")).filter("trim(c.line) <> ''")
+    rows = rows.withColumn("row_id", F.col("row_id").cast("long")).withColumn("gap_before", F.trim("c.before") == "")
     words = F.array_join(F.transform(F.regexp_extract_all(F.col("c.line"), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), 1), F.lower), " ")
     return rows.select(
-        F.lit("custom").alias("media"), "source_id", "c.row_id", F.col("source_id").cast("string").alias("file"), "folder", "c.line", F.col("c.line").alias("clean_text"),
-        words.alias("base_forms"), F.lit(None).cast("string").alias("readings"), F.lit(None).cast("int").alias("chars"), "c.gap_before",
+        F.lit("custom").alias("media"), "source_id", "row_id", F.col("source_id").cast("string").alias("file"), "folder", "c.line", F.col("c.line").alias("clean_text"),
+        words.alias("base_forms"), F.lit(None).cast("string").alias("readings"), F.lit(None).cast("int").alias("chars"), "gap_before",
     )
 
 

@@ -1,0 +1 @@
+"""Streams of new files and lines into an index."""
