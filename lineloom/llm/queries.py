@@ -32,7 +32,7 @@ def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned.find_noise(_volumes(spark, sf_dir))[1]
+    return scanned.find_noise(_volumes(spark, sf_dir))
 
 
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

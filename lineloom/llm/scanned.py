@@ -1,20 +1,23 @@
 """Problem 2: repairing text read from scanned pages.
 
-1. Page edges: in each volume the first rows of its pages are compared with the title, with chapter headings and
-   with each other (fuzzily, as misread); edge rows that are numbers are read in spite of misread digits and kept
-   as page numbers where they continue the numbering of the volume. Volumes are read in blocks of pages, so a
-   volume of any length is spread; the rows after a block are read with it as context.
+1. Page edges: edge rows that are numbers are read in spite of misread digits and kept as page numbers where they continue the
+   numbering of the volume, by vote of all its pages. The first rows of pages are compared, fuzzily as misread, with the title,
+   with chapter headings, and with the heads that stand on many pages of the volume.
 2. The corpus vocabulary: words and runs of katakana of the running text are counted over all volumes.
 3. A mark at a row's end is taken off where the joined word is in the vocabulary rather than the compound.
-4. A word is misread where an exchange of characters often mistaken for each other gives a word many times as
-   frequent. A character that stands for one of another script or a similar kanji is judged by its neighbours.
-5. ``paragraphs`` joins what remains.
+4. A word is misread where exchanges of signs often mistaken for each other give a word many times as frequent: words with the
+   same key, under which such signs are one, are compared. A sign that stands for one of another script is judged by the scripts
+   beside it. For kanji the exchanges are learned: a kanji most of whose places, by the kanji beside it or by both neighbours, are
+   places of one other kanji that is many times as frequent there and everywhere, was misread for it.
+5. ``paragraphs`` joins what remains and puts right what was misread.
+
+Volumes of any length are spread: positions and the rows before are running values, and the running text is read in blocks that
+overlap by some rows.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -23,14 +26,17 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineloom.operators.running import positions, running
 from lineloom.session import settle
 
 from .visible import words_only
 
-#: Pages of one volume that are read together, and pages after them read as context.
-BLOCK_PAGES, CONTEXT_PAGES = 256, 2
-#: How many times as frequent as a word its correction must be.
-WORD_RATIO, SIGN_RATIO = 8, 6
+#: Rows of running text that are read together, and rows before and after them read as context.
+BLOCK_ROWS, CONTEXT_ROWS = 4096, 8
+#: How many times as frequent as a word, sign or kanji its correction must be; the least places and share of them that tell of a kanji.
+WORD_RATIO, SIGN_RATIO, KANJI_RATIO, KANJI_PLACES, KANJI_SHARE = 8, 6, 8, 3, 0.6
+#: Pages in a bucket of the order of rows: the page stands above the row number.
+_PAGE, _BUCKET = 40, 1 << 46
 
 MARKS = "-‐‑¬­"
 # Latin letters as misread, and what they were.
@@ -39,12 +45,6 @@ LATIN_SLIPS = (("0", "o"), ("1", "l"), ("1", "i"), ("|", "l"), ("|", "i"), ("c",
 KANA_SLIPS = dict(zip("力夕卜八口工二一三千才厶", "カタトハロエニーミチオム")) | {"─": "ー", "―": "ー"}
 # Kana mistaken for each other.
 KANA_PAIRS = ("ソン", "ンソ", "ツシ", "シツ", "ッシ", "ヌス", "スヌ", "ワク", "クワ", "ラテ", "コユ", "ユコ", "ウワ", "ワウ")
-# Kanji as misread, and what they were.
-KANJI_SLIPS = tuple(
-    "侍待 曰日 孑子 未末 末未 舘館 棄葉 東束 束東 恨根 詰話 打灯 皖院 瞼験 苛荷 討計 鎗鏡 鎗鍵 入人 人入 犬大 太大 士土 土士 千干 午牛 "
-    "牛午 目自 自目 石右 右石 間聞 問間 閒間 本木 木本 綱網 網綱 矢失 失矢 徽微 傅傳 貝見 見貝 烏鳥 鳥烏 島鳥 氷水 永水 由田 田由 甲申 "
-    "白自 住往 往住 科料 料科 候侯 持待 待持 特持 拾捨 捨拾 壊懐 懐壊 縁緑 緑縁 週過 過週 宮官 官宮 遺遣 遣遺 臣巨 巨臣 己已 已己 戎戒".split()
-)
 
 _NUMBER = regex.compile(r"(?i)^[^\w|]*(?:p(?:age)?\.?\s*)?([0-9lio|sbz]{1,5}|[〇一二三四五六七八九十百]{1,5})\s*頁?[^\w|]*$")
 _ENDED = regex.compile(r"[。！？…!?.」』”\"]\s*$")
@@ -99,52 +99,6 @@ def _similar(a: str, b: str, least: float = 0.75) -> bool:
 _TAIL = regex.compile(r"(?i)[\s　]+[\W_]*(?:p\.?\s*)?(?:[0-9lio|]{1,5}|[〇一二三四五六七八九十百]{1,5})\s*頁?[\W_]*$|^[\W_]*(?:p\.?\s*)?[0-9lio|]{1,5}\s*頁?[\W_]*[\s　]+")
 
 
-def page_edges(pages: list[list[str]], numbers: list[int], title: str | None) -> list[list[str]]:
-    """running_head, page_number or text for each row of each page of a block."""
-    kinds = [["text"] * len(rows) for rows in pages]
-    votes: Counter[int] = Counter()
-    found: list[list[tuple[int, int]]] = []
-    for rows, page in zip(pages, numbers):
-        own = []
-        for at in sorted({0, 1, len(rows) - 2, len(rows) - 1} & set(range(len(rows)))):
-            value = page_number(rows[at])
-            if value is not None:
-                own.append((at, value))
-                votes[value - page] += 1
-        found.append(own)
-    offset, support = votes.most_common(1)[0] if votes else (0, 0)
-    for k, (own, page) in enumerate(zip(found, numbers)):
-        for at, value in own:
-            if value - page == offset and (support > 1 or sum(votes.values()) == 1):
-                kinds[k][at] = "page_number"
-                break
-    tops: list[tuple[int, int, str, str]] = []
-    for k, rows in enumerate(pages):
-        free = [at for at in range(min(3, len(rows))) if kinds[k][at] == "text"][:2]
-        if free and len(rows) > 1:
-            at = free[0]
-            text = unicodedata.normalize("NFKC", rows[at]).strip()
-            bare = _TAIL.sub("", text)
-            tops.append((k, at, _shape(bare or text), text))
-    counts = Counter(shape for _, _, shape, _ in tops)
-    often = [s for s, n in counts.items() if n >= 2 and len(s) >= 3]
-    name = _shape(title) if title else ""
-    for k, at, shape, text in tops:
-        if name and _similar(shape, name):
-            kinds[k][at] = "running_head"
-        elif _CHAPTER.match(text) and len(text) <= 40 and not _ENDED.search(text):
-            kinds[k][at] = "running_head"
-        elif len(shape) >= 3 and not _ENDED.search(text) and not rows_indented(pages[k][at]):
-            near = sum(counts[s] for s in often if _similar(shape, s, 0.8)) - (counts[shape] > 1)
-            if near >= max(2, 0.1 * len(pages)):
-                kinds[k][at] = "running_head"
-        if kinds[k][at] == "running_head" and at + 1 < min(3, len(pages[k])) and kinds[k][at + 1] == "text":
-            second = unicodedata.normalize("NFKC", pages[k][at + 1]).strip()  # title and chapter, one below the other
-            if not _ENDED.search(second) and len(second) <= 40 and (_CHAPTER.match(second) or (name and _similar(_shape(_TAIL.sub("", second)), name))):
-                kinds[k][at + 1] = "running_head"
-    return kinds
-
-
 def rows_indented(line: str) -> bool:
     return line.startswith(("　", "  "))
 
@@ -156,32 +110,92 @@ def _class(char: str) -> str:
     return "h" if 0x3041 <= o <= 0x309F else "k" if 0x30A1 <= o <= 0x30FC else "c" if 0x4E00 <= o <= 0x9FFF else "d" if char.isdigit() else "l" if char.isalpha() else "p"
 
 
+
+
+# ---------------------------------------------------------------- page edges
+
+
+def _edge_facts(rows: DataFrame) -> DataFrame:
+    """Rows at the edges of pages with what they look like: ``value`` of a page number, ``shape``, and whether they have ended,
+    name a chapter, are like the title, are indented."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row, volume, page, top, bottom, line, title in frame[["row_id", "volume", "page", "top", "bottom", "line", "title"]].itertuples(index=False):
+                line = line if isinstance(line, str) else ""
+                text = unicodedata.normalize("NFKC", line).strip()
+                shape = _shape(_TAIL.sub("", text) or text)
+                name = _shape(title) if isinstance(title, str) else ""
+                ended = bool(_ENDED.search(text))
+                chapter = bool(_CHAPTER.match(text)) and len(text) <= 40 and not ended
+                like = bool(name) and _similar(shape, name)
+                out.append((row, volume, page, top, bottom, page_number(line), shape, ended, chapter, like, like and len(text) <= 40 and not ended, rows_indented(line)))
+            columns = ["row_id", "volume", "page", "top", "bottom", "value", "shape", "ended", "chapter", "like", "like_short", "indented"]
+            yield pd.DataFrame(out, columns=columns).astype({"value": "Int64"})
+
+    schema = "row_id long, volume string, page int, top long, bottom long, value long, shape string, ended boolean, chapter boolean, like boolean, like_short boolean, indented boolean"
+    return rows.filter("top <= 3 or bottom < 2").mapInPandas(run, schema)
+
+
+def _near_heads(tops: DataFrame) -> DataFrame:
+    """``volume, shape, near``: on how many other pages of its volume a head of this shape, or of one like it, stands again and again.
+
+    Shapes are compared only where they share two letters in a row, as all that are so alike do.
+    """
+    shapes = tops.filter(F.length("shape") >= 3).groupBy("volume", "shape").agg(F.count("*").alias("n"))
+    grams = lambda df: df.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("shape") - 1), lambda i: F.substr(F.col("shape"), i, F.lit(2))))))
+    often = grams(shapes.filter("n > 1")).select("volume", "gram", F.col("shape").alias("head"), F.col("n").alias("times"))
+    fits = (F.length("shape") + F.length("head")) * 0.8 <= 2 * F.least(F.length("shape"), F.length("head"))
+    pairs = grams(shapes).join(often, ["volume", "gram"]).filter(fits).select("volume", "shape", "n", "head", "times").distinct()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[_similar(a, b, 0.8) for a, b in zip(frame["shape"], frame["head"], strict=True)]]
+
+    alike = pairs.mapInPandas(run, pairs.schema)
+    return alike.groupBy("volume", "shape", "n").agg(F.sum("times").alias("near")).select("volume", "shape", (F.col("near") - (F.col("n") > 1).cast("int")).alias("near"))
+
+
+def page_edges(rows: DataFrame) -> DataFrame:
+    """``row_id, noise`` of running heads and page numbers; ``rows``: row_id, volume, page, line, title, each row once."""
+    placed = positions(rows, ["volume", "page"], "row_id", "top")
+    size = rows.groupBy("volume", "page").agg(F.count("*").alias("size"))
+    both = placed.withColumn("__v", F.coalesce("volume", F.lit(""))).join(size.withColumn("__v", F.coalesce("volume", F.lit(""))).select("__v", "page", "size"), ["__v", "page"])
+    edges = settle(_edge_facts(both.withColumn("bottom", F.col("size") - F.col("top"))).withColumn("v", F.coalesce("volume", F.lit(""))), "edges")
+    found = edges.filter("value is not null and (top <= 2 or bottom < 2)").withColumn("off", F.col("value") - F.col("page"))
+    votes = found.groupBy("v", "off").agg(F.count("*").alias("n"), F.min("page").alias("first"))
+    best = votes.groupBy("v").agg(F.max_by("off", F.struct("n", -F.col("first"))).alias("off"), F.max("n").alias("support"), F.sum("n").alias("total"))
+    numbers = found.join(best, ["v", "off"]).filter("support > 1 or total = 1").groupBy("v", "page").agg(F.min(F.struct("top", "row_id")).alias("r")).select("r.row_id")
+    numbers = settle(numbers, "numbers")
+    free = edges.filter("top <= 3").join(numbers, "row_id", "left_anti")
+    tops = free.filter("top + bottom > 1").groupBy("v", "page").agg(F.min(F.struct("top", "row_id", "shape", "ended", "chapter", "like", "indented")).alias("r")).select("v", "page", "r.*")
+    near = _near_heads(tops.select(F.col("v").alias("volume"), "shape")).withColumnRenamed("volume", "v")
+    pages = rows.select(F.coalesce("volume", F.lit("")).alias("v"), "page").distinct().groupBy("v").agg(F.count("*").alias("pages"))
+    judged = tops.join(near, ["v", "shape"], "left").join(pages, "v")
+    again = ~F.col("ended") & ~F.col("indented") & (F.coalesce("near", F.lit(0)) >= F.greatest(F.lit(2.0), 0.1 * F.col("pages")))
+    heads = settle(judged.filter(F.col("like") | F.col("chapter") | again).select("v", "page", "top", "row_id"), "heads")
+    # title and chapter, one below the other
+    under = free.filter("chapter or like_short").join(heads.select("v", "page", (F.col("top") + 1).alias("top")), ["v", "page", "top"], "left_semi")
+    marked = heads.select("row_id").union(under.select("row_id")).distinct().select("row_id", F.lit("running_head").alias("noise"))
+    return marked.union(numbers.select("row_id", F.lit("page_number").alias("noise")))
+
+
+# ---------------------------------------------------------------- the running text
+
+
 _CONTEXT_SIGNS = set(KANA_SLIPS) | set(KANA_SLIPS.values()) - {"ー"}
-_CONTEXT_KANJI = {c for pair in KANJI_SLIPS for c in pair}
+_KANJI = regex.compile("[一-鿿々]")
 
-_SCHEMA = "rec string, row_id long, row_id2 long, page int, volume string, a string, b string, c string, n int"
+_SCHEMA = "rec string, row_id long, row_id2 long, a string, b string, c string, n int"
 
 
 def _read_block(frame: pd.DataFrame) -> Iterator[tuple]:
-    """Records of one block: row (a kind, b line), word, split (a left, b right, c mark), run (n: signs in the first row), sign and kanji (a, b, c: before, itself, after)."""
-    frame = frame.drop_duplicates("row_id").sort_values(["page", "row_id"], kind="stable")
-    frame = frame.assign(line=[x if isinstance(x, str) else "" for x in frame["line"]])
-    pages, ids, numbers = [], [], []
-    for page, part in frame.groupby("page", sort=True):
-        pages.append(part["line"].tolist())
-        ids.append(part["row_id"].tolist())
-        numbers.append(int(page))
-    titles = [t for t in frame["title"] if isinstance(t, str)]
-    volume = frame["volume"].iloc[0]
-    own = dict(zip(frame["row_id"].tolist(), frame["own"].tolist()))
-    kinds = page_edges(pages, numbers, titles[0] if titles else None)
-    text: list[tuple[int, str]] = []
-    for rows, keys, kind, page in zip(pages, ids, kinds, numbers):
-        for line, key, k in zip(rows, keys, kind):
-            if own[key]:
-                yield ("row", key, None, page, volume, k, line, None, None)
-            if k == "text" and line.strip():
-                text.append((key, line))
+    """Records of one block: word, split (a left, b right, c mark), run (n: signs in the first row), sign and kanji (a, b, c:
+    before, itself, after)."""
+    frame = frame.sort_values("at")
+    own = dict(zip(frame["row_id"].tolist(), frame["own"].tolist(), strict=True))
+    text = list(zip(frame["row_id"].tolist(), frame["line"].tolist(), strict=True))
     # words in Latin letters, and words broken at the end of a row
     skip_first = False
     for at, (key, line) in enumerate(text):
@@ -198,13 +212,13 @@ def _read_block(frame: pd.DataFrame) -> Iterator[tuple]:
             words = words[1:]
         if first:
             if own[key]:
-                yield ("split", key, following[0], None, volume, words[-1] if words else found[-1].group().lower(), first.group().lower().strip("'"), bare[-1], None)
+                yield ("split", key, following[0], words[-1] if words else found[-1].group().lower(), first.group().lower().strip("'"), bare[-1], None)
             words = words[:-1]
         skip_first = bool(first)
         if own[key]:
             for w in words:
                 if any(c.isalpha() for c in w):
-                    yield ("word", key, None, None, volume, w, None, None, None)
+                    yield ("word", key, None, w, None, None, None)
     # Japanese text runs on from row to row; an indented row begins a paragraph
     flow, where = [], []
     for key, line in text:
@@ -224,152 +238,228 @@ def _read_block(frame: pd.DataFrame) -> Iterator[tuple]:
             continue
         rows = where[hit.start() : hit.end()]
         inside = rows.count(rows[0])
-        yield ("run", rows[0], rows[inside] if inside < len(rows) else None, None, volume, hit.group(), None, None, inside)
+        yield ("run", rows[0], rows[inside] if inside < len(rows) else None, hit.group(), None, None, inside)
     for i, char in enumerate(whole):
-        if (char in _CONTEXT_SIGNS or char in _CONTEXT_KANJI) and own[where[i]]:
+        if own[where[i]]:
             before, after = whole[i - 1] if i else "", whole[i + 1] if i + 1 < len(whole) else ""
             if char in _CONTEXT_SIGNS:
-                yield ("sign", where[i], None, None, volume, _class(before), char, _class(after), None)
-            if char in _CONTEXT_KANJI:
-                yield ("kanji", where[i], None, None, volume, before, char, after, None)
+                yield ("sign", where[i], None, _class(before), char, _class(after), None)
+            elif _KANJI.match(char):
+                yield ("kanji", where[i], None, before, char, after, None)
 
 
-def read_pages(rows: DataFrame) -> DataFrame:
-    """Records of all volumes; ``rows``: row_id, volume, page, line, title."""
+def read_text(text: DataFrame) -> DataFrame:
+    """Records of the running text of all volumes; ``text``: row_id, volume, line, at (position in the volume)."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(_read_block(frame)), columns=["rec", "row_id", "row_id2", "page", "volume", "a", "b", "c", "n"])
-        return out.astype({"row_id": "Int64", "row_id2": "Int64", "page": "Int32", "n": "Int32"})
-
-    base = rows.select(
-        F.col("row_id").cast("long").alias("row_id"), F.col("volume").cast("string").alias("volume"), F.coalesce(F.col("page").cast("int"), F.lit(0)).alias("page"),
-        F.col("line").cast("string").alias("line"), F.col("title").cast("string").alias("title"),
-    ).filter("row_id is not null")
-    block = F.floor(F.col("page") / BLOCK_PAGES)
-    owned = base.withColumn("block", block).withColumn("own", F.lit(True))
-    context = base.filter((F.col("page") % BLOCK_PAGES < CONTEXT_PAGES) & (F.col("page") >= BLOCK_PAGES)).withColumn("block", block - 1).withColumn("own", F.lit(False))
-    return owned.unionByName(context).groupBy("volume", "block").applyInPandas(run, _SCHEMA)
-
-
-def word_variants(word: str) -> list[tuple[str, int]]:
-    """(corrected word, place of the first exchange) for a word in Latin letters or a run of katakana."""
-    out: dict[str, int] = {}
+        out = pd.DataFrame(list(_read_block(frame)), columns=["rec", "row_id", "row_id2", "a", "b", "c", "n"])
+        return out.astype({"row_id": "Int64", "row_id2": "Int64", "n": "Int32"})
+
+    block, inside = F.floor(F.col("at") / BLOCK_ROWS), F.pmod("at", F.lit(BLOCK_ROWS))
+    copies = [F.struct(block.alias("block"), F.lit(True).alias("own"))]
+    copies += [F.when(inside < CONTEXT_ROWS, F.struct((block - 1).alias("block"), F.lit(False).alias("own")))]
+    copies += [F.when(inside >= BLOCK_ROWS - CONTEXT_ROWS, F.struct((block + 1).alias("block"), F.lit(False).alias("own")))]
+    spread = text.withColumn("c", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull()))).select("row_id", "volume", "line", "at", "c.block", "c.own")
+    return spread.groupBy("volume", "block").applyInPandas(run, _SCHEMA)
+
+
+# ---------------------------------------------------------------- words
+
+
+_ONE_KANA: dict[str, str] = {}
+for _pair in [*KANA_SLIPS.items(), *KANA_PAIRS]:
+    _old, _new = _pair
+    _left, _right = _ONE_KANA.get(_old, _old), _ONE_KANA.get(_new, _new)
+    _ONE_KANA = {k: _right if v == _left else v for k, v in (_ONE_KANA | {_old: _left, _new: _right}).items()}
+
+
+#: Letters by the letters that they, and what they are mistaken for, have in common.
+_ONE_LETTER = str.maketrans({"0": "o", "1": "l", "|": "l", "i": "l", "c": "e", "5": "s", "8": "b", "m": "rn", "h": "ll", "d": "el", "w": "vv"})
+
+
+def word_key(word: str) -> str:
+    """A word with all signs that may be mistaken for each other as one: a word and its correction have one key."""
     if word.isascii():
-        def once(text: str, pairs=LATIN_SLIPS):
-            for wrong, right in pairs:
-                at = text.find(wrong)
-                while at >= 0:
-                    yield text[:at] + right + text[at + len(wrong) :], at
-                    at = text.find(wrong, at + 1)
+        return word.translate(_ONE_LETTER)
+    return "".join(_ONE_KANA.get(c, c) for c in word)
+
+
+def exchanges(word: str, new: str) -> tuple[int, int] | None:
+    """(fewest exchanges, place of the first) by which a word becomes ``new``, each sign as misread to what it was; None if by none."""
+    if word.isascii():
+        slips = LATIN_SLIPS
     else:
-        def once(text: str, pairs=None):
-            for at, c in enumerate(text):
-                for right in [KANA_SLIPS.get(c, "")] + [p[1] for p in KANA_PAIRS if p[0] == c]:
-                    if right:
-                        yield text[:at] + right + text[at + 1 :], at
-    twice = not word.isascii() or any(c in "01|58" for c in word)
-    for new, at in once(word):
-        out.setdefault(new, at)
-        if twice and len(word) <= 24:
-            for other, there in once(new):
-                out.setdefault(other, min(at, there))
-                if not word.isascii() and len(word) <= 8:
-                    for third, last in once(other):
-                        out.setdefault(third, min(at, there, last))
-    out.pop(word, None)
-    return list(out.items())
-
-
-def _with_variants(words: DataFrame) -> DataFrame:
-    """``word, new, at`` for each distinct word."""
+        slips = (*KANA_SLIPS.items(), *KANA_PAIRS)
+    front: dict[int, dict[int, tuple[int, int]]] = {0: {0: (0, len(word))}}
+    for i in range(len(word)):
+        for j, (n, first) in front.pop(i, {}).items():
+            steps = [(1, 1, 0)] if new[j : j + 1] == word[i] else []
+            steps += [(len(a), len(b), 1) for a, b in slips if word.startswith(a, i) and new.startswith(b, j)]
+            for da, db, cost in steps:
+                state = (n + cost, min(first, i) if cost else first)
+                here = front.setdefault(i + da, {})
+                if j + db not in here or state < here[j + db]:
+                    here[j + db] = state
+    found = front.get(len(word), {}).get(len(new))
+    return found if found and found[0] else None
+
+
+def _keyed(words: DataFrame) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(key=[word_key(w) for w in frame["word"]])
+
+    return words.mapInPandas(run, "word string, times long, key string")
+
+
+def wrong_words(counted: DataFrame, joined: DataFrame) -> DataFrame:
+    """``word, new, at, new_times``: words, and ``joined`` ones, with the most frequent correction that is frequent enough."""
+    asked = counted.unionByName(joined.join(counted.select("word"), "word", "left_anti").withColumn("times", F.lit(0).cast("long")))
+    keyed = settle(_keyed(asked), "keys")
+    # only keys with a word that is frequent enough can give a correction
+    top = keyed.groupBy("key").agg(F.max("times").alias("top")).filter("top >= 3")
+    rare = keyed.join(top, "key").filter(F.col("top") >= WORD_RATIO * F.col("times"))
+    known = keyed.filter("times >= 3").select("key", F.col("word").alias("new"), F.col("times").alias("new_times"))
+    pairs = rare.join(known, "key").filter((F.col("word") != F.col("new")) & (F.col("new_times") >= WORD_RATIO * F.col("times"))).select("word", "new", "new_times")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [(w, new, at) for w in frame["word"] for new, at in word_variants(w)]
-            yield pd.DataFrame(found, columns=["word", "new", "at"]).astype({"at": "int32"})
+            out = []
+            for word, new, times in frame[["word", "new", "new_times"]].itertuples(index=False):
+                found = exchanges(word, new)
+                # letters alone are mistaken once; signs that are no letters, and kana, as often as they stand
+                if found and (found[0] == 1 or not word.isascii() or any(c in "01|58" for c in word)):
+                    out.append((word, new, found[1], times))
+            yield pd.DataFrame(out, columns=["word", "new", "at", "new_times"]).astype({"at": "int32"})
 
-    return words.mapInPandas(run, "word string, new string, at int")
+    checked = pairs.mapInPandas(run, "word string, new string, at int, new_times long")
+    best = F.max(F.struct("new_times", "new", "at")).alias("b")
+    return checked.groupBy("word").agg(best).select("word", F.col("b.new").alias("new"), F.col("b.at").alias("at"), F.col("b.new_times").alias("new_times"))
 
 
-def find_noise(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, noise): the records of ``read_pages`` and ``row_id, noise, at`` of every noisy row.
+# ---------------------------------------------------------------- signs
 
-    ``rows`` has row_id, volume, page, line, title. Rows with one ``row_id`` count once; a null line is text without
-    words, a null page is page 0, a null volume one of its own, a null title unknown. Empty tables give no rows;
-    other columns are not read.
-    """
-    records = settle(read_pages(rows), "pages")
-    edges = records.filter("rec = 'row' and a <> 'text'").select("row_id", F.col("a").alias("noise"))
-    split = records.filter("rec = 'split'")
-    counted = records.filter("rec in ('word', 'run')").groupBy(F.col("a").alias("word")).agg(F.count("*").alias("times"))
-    counted = settle(counted, "words")
-    joined = split.select(F.concat("a", "b").alias("word")).distinct()
-    # words with a correction many times as frequent
-    variants = _with_variants(counted.select("word").union(joined).distinct())
-    known = counted.select(F.col("word").alias("new"), F.col("times").alias("new_times"))
-    better = variants.join(known, "new").join(counted, "word", "left").filter(
-        (F.col("new_times") >= 3) & (F.col("new_times") >= WORD_RATIO * F.coalesce("times", F.lit(0)))
-    )
-    wrong = settle(better.groupBy("word").agg(F.max_by("at", "new_times").alias("at"), F.max("new_times").alias("new_times"), F.max_by("new", "new_times").alias("new")), "wrong")
-    # broken words
-    parts = split.select("row_id", "row_id2", F.col("a").alias("left"), F.col("b").alias("right"), F.col("c").alias("mark"), F.concat("a", "b").alias("word"), F.concat_ws("-", "a", "b").alias("compound"))
-    count_of = lambda name: counted.select(F.col("word").alias(name), F.col("times").alias(f"{name}_times"))
-    fixed = wrong.select("word", F.col("new_times").alias("fixed_times"), "at")
-    fixed_compound = wrong.select(F.col("word").alias("compound"), F.col("new_times").alias("cfixed_times"))
-    judged = parts
-    for name in ("word", "compound", "left", "right"):
-        judged = judged.join(count_of(name), name, "left")
-    judged = judged.join(fixed, "word", "left").join(fixed_compound, "compound", "left").fillna(0, ["word_times", "compound_times", "left_times", "right_times", "fixed_times", "cfixed_times"])
-    as_word = F.greatest("word_times", "fixed_times")
-    as_compound = F.greatest("compound_times", "cfixed_times")
-    both = (F.col("left_times") >= 3) & (F.col("right_times") >= 3)
-    is_split = F.when((as_word > 0) | (as_compound > 0), as_word >= as_compound).when(F.col("mark").isin("-", "‐", "‑"), ~both).otherwise(True)
-    judged = settle(judged.withColumn("split", is_split), "splits")
-    splits = judged.filter("split").select("row_id", F.lit("split_word").alias("noise"))
-    # where the misread sign of a word stands
-    by_word = records.filter("rec = 'word'").select("row_id", F.col("a").alias("word")).join(wrong, "word", "left_semi").select("row_id")
-    by_run = records.filter("rec = 'run'").select("row_id", "row_id2", "n", F.col("a").alias("word")).join(wrong.select("word", "at"), "word")
-    by_run = by_run.select(F.when(F.col("row_id2").isNotNull() & (F.col("at") >= F.col("n")), F.col("row_id2")).otherwise(F.col("row_id")).alias("row_id"))
-    by_split = judged.filter("split and fixed_times > 0").select(F.when(F.col("at") >= F.length("left"), F.col("row_id2")).otherwise(F.col("row_id")).alias("row_id"))
-    # compounds broken at their own mark are judged by their halves
-    halves = judged.filter("not split")
-    by_half = halves.select("row_id", F.col("left").alias("word")).union(halves.select("row_id2", "right")).join(wrong, "word", "left_semi").select("row_id")
-    by_sign = _misread_signs(records.filter("rec = 'sign'"))
-    by_kanji = _misread_kanji(records.filter("rec = 'kanji'"))
-    misread = by_word.union(by_run).union(by_split).union(by_half).union(by_sign).union(by_kanji).distinct().select("row_id", F.lit("misread").alias("noise"))
-    return records, edges.union(splits.distinct()).union(misread)
-
-
-def _misread_signs(signs: DataFrame) -> DataFrame:
-    """Rows with a sign that in its place between scripts is much rarer than the one it looks like."""
+
+def wrong_signs(signs: DataFrame) -> DataFrame:
+    """``a, b, c, d``: signs that between these scripts are much rarer than the one they look like."""
     counts = settle(signs.groupBy("a", "b", "c").agg(F.count("*").alias("times")), "signs")  # a few hundred rows at any size
     pairs = [(k, v) for k, v in KANA_SLIPS.items() if k not in "─―"] + [(v, k) for k, v in KANA_SLIPS.items() if v != "ー"] + [("─", "ー"), ("―", "ー")]
-    table = signs.sparkSession.createDataFrame(pairs, "b string, d string")
+    looks = signs.sparkSession.createDataFrame(pairs, "b string, d string")
     other = counts.select("a", F.col("b").alias("d"), "c", F.col("times").alias("d_times"))
-    runs = counts.join(F.broadcast(table), "b").join(F.broadcast(other), ["a", "d", "c"]).filter((F.col("d_times") >= 5) & (F.col("d_times") >= SIGN_RATIO * F.col("times")))
-    bad = runs.select("a", "b", "c").distinct()
-    return signs.join(F.broadcast(bad), ["a", "b", "c"], "left_semi").select("row_id")
-
-
-def _misread_kanji(kanji: DataFrame) -> DataFrame:
-    """Rows with a kanji whose look-alike is much more frequent beside its neighbours."""
-    counts = settle(kanji.groupBy("a", "b", "c").agg(F.count("*").alias("times")), "kanji")
-    left = counts.groupBy("a", "b").agg(F.sum("times").alias("times"))
-    right = counts.groupBy("b", "c").agg(F.sum("times").alias("times"))
-    table = kanji.sparkSession.createDataFrame([tuple(p) for p in KANJI_SLIPS], "b string, d string")
-    cases = counts.select("a", "b", "c").join(F.broadcast(table), "b")
-    for name, side, keys in (("l", left, ("a", "%")), ("r", right, ("%", "c"))):
-        for which in ("b", "d"):
-            on = [which if k == "%" else k for k in keys]
-            cases = cases.join(side.select(*[F.col("b").alias(which) if k == "%" else F.col(k) for k in keys], F.col("times").alias(f"{name}{which}")), on, "left")
-    cases = cases.fillna(0, ["lb", "ld", "rb", "rd"])
-    many = F.lit(2 * SIGN_RATIO)
-    by_left = (F.col("ld") >= 5) & (F.col("ld") >= many * F.col("lb")) & (F.col("rb") + 0.5 <= 3 * (F.col("rd") + 0.5))
-    by_right = (F.col("rd") >= 5) & (F.col("rd") >= many * F.col("rb")) & (F.col("lb") + 0.5 <= 3 * (F.col("ld") + 0.5))
-    by_both = ((F.col("ld") + 0.5) * (F.col("rd") + 0.5) >= 3 * SIGN_RATIO * (F.col("lb") + 0.5) * (F.col("rb") + 0.5)) & (F.least("ld", "rd") >= 1)
-    much = by_left | by_right | by_both
-    bad = cases.filter(much).select("a", "b", "c").distinct()
-    return kanji.join(bad, ["a", "b", "c"], "left_semi").select("row_id")
+    runs = counts.join(F.broadcast(looks), "b").join(F.broadcast(other), ["a", "d", "c"]).filter((F.col("d_times") >= 5) & (F.col("d_times") >= SIGN_RATIO * F.col("times")))
+    return runs.groupBy("a", "b", "c").agg(F.max_by("d", F.struct("d_times", "d")).alias("d"))
+
+
+def wrong_kanji(kanji: DataFrame) -> DataFrame:
+    """``a, b, c, d``: places (before, kanji, after) of kanji misread for another, learned from the corpus alone.
+
+    A place is explained by a kanji d that is KANJI_RATIO times as frequent as b beside the same kanji, or between the same two
+    signs, and everywhere. b was misread for d if d explains KANJI_PLACES of its places or more, and KANJI_SHARE of all.
+    What is compared are counts of signs in context, whose number the writing bounds, not the corpus.
+    """
+    counts = settle(kanji.groupBy("a", "b", "c").agg(F.count("*").alias("n")), "kanji")
+    every = settle(counts.groupBy("b").agg(F.sum("n").alias("all")), "each")
+    hit = lambda c: F.col(c).rlike("^[一-鿿々]$")
+    sides = [(counts.filter(hit("a")), ["a"]), (counts.filter(hit("c")), ["c"]), (counts, ["a", "c"])]
+    found = None
+    for part, keys in sides:
+        near = part.groupBy("b", *keys).agg(F.sum("n").alias("n"))
+        top = near.groupBy(*keys).agg(F.max("n").alias("top"))
+        few = near.join(top, keys).filter(F.col("top") >= F.greatest(F.lit(5), KANJI_RATIO * F.col("n"))).drop("top")
+        many = near.filter("n >= 5").select(*keys, F.col("b").alias("d"), F.col("n").alias("m"))
+        pairs = few.join(many, keys).filter(F.col("m") >= KANJI_RATIO * F.col("n")).select("b", "d", *keys)
+        places = part.join(pairs, ["b", *keys]).select("a", "b", "c", "d", "n")
+        found = places if found is None else found.unionByName(places)
+    found = settle(found.distinct(), "places")
+    told = found.groupBy("b", "d").agg(F.sum("n").alias("told"))
+    told = told.join(every, "b").join(every.select(F.col("b").alias("d"), F.col("all").alias("d_all")), "d")
+    ok = told.filter((F.col("told") >= KANJI_PLACES) & (F.col("told") >= KANJI_SHARE * F.col("all")) & (F.col("d_all") >= KANJI_RATIO * F.col("all")))
+    best = ok.groupBy("b").agg(F.max_by("d", F.struct("told", "d_all", "d")).alias("d"))
+    return found.join(best, ["b", "d"]).select("a", "b", "c", "d").distinct()
+
+
+# ---------------------------------------------------------------- all of it
+
+
+class Reading:
+    """What was found in the pages: ``edges``, ``text`` with positions, ``records``, and the corrections."""
+
+    def __init__(self, rows: DataFrame):
+        base = rows.select(
+            F.col("row_id").cast("long").alias("row_id"), F.col("volume").cast("string").alias("volume"), F.coalesce(F.col("page").cast("int"), F.lit(0)).alias("page"),
+            F.col("line").cast("string").alias("line"), F.col("title").cast("string").alias("title"),
+        ).filter("row_id is not null")
+        base = settle(base.dropDuplicates(["row_id"]), "rows")
+        self.edges = settle(page_edges(base), "edges")
+        key = F.shiftleft(F.col("page").cast("long"), _PAGE).bitwiseOR(F.col("row_id").bitwiseAND(F.lit((1 << _PAGE) - 1)))
+        text = base.join(self.edges.select("row_id"), "row_id", "left_anti").filter("trim(coalesce(line, '')) <> ''").withColumn("key", key)
+        self.text = settle(positions(text.drop("title"), ["volume"], "key", "at", _BUCKET), "text")
+        self.records = settle(read_text(self.text), "records")
+        self.split = self.records.filter("rec = 'split'")
+        counted = self.records.filter("rec in ('word', 'run')").groupBy(F.col("a").alias("word")).agg(F.count("*").alias("times"))
+        self.counted = settle(counted, "words")
+        self.wrong = settle(wrong_words(self.counted, self.split.select(F.concat("a", "b").alias("word")).union(self.split.select(F.concat_ws("-", "a", "b"))).distinct()), "wrong")
+        self.judged = settle(self._splits(), "splits")
+        self.signs = settle(wrong_signs(self.records.filter("rec = 'sign'")), "wrong-signs")
+        self.kanji = settle(wrong_kanji(self.records.filter("rec = 'kanji'")), "wrong-kanji")
+
+    def _splits(self) -> DataFrame:
+        """The broken words, with ``is_split``: whether the mark at the break does not belong to the word."""
+        parts = self.split.select("row_id", "row_id2", F.col("a").alias("left"), F.col("b").alias("right"), F.col("c").alias("mark"))
+        roles = {"word": F.concat("left", "right"), "compound": F.concat_ws("-", "left", "right"), "left": F.col("left"), "right": F.col("right")}
+        asked = parts.select("row_id", F.explode(F.map_from_arrays(F.array(*[F.lit(r) for r in roles]), F.array(*roles.values()))).alias("role", "word"))
+        known = asked.join(self.counted, "word", "left").join(self.wrong.select("word", "new_times", "at"), "word", "left")
+        sums = known.groupBy("row_id").agg(
+            *[F.coalesce(F.max(F.when(F.col("role") == r, F.col("times"))), F.lit(0)).alias(f"{r}_times") for r in roles],
+            *[F.coalesce(F.max(F.when(F.col("role") == r, F.col("new_times"))), F.lit(0)).alias(f"{r}_fixed") for r in ("word", "compound")],
+            F.max(F.when(F.col("role") == "word", F.col("at"))).alias("at"),
+        )
+        judged = parts.join(sums, "row_id")
+        as_word, as_compound = F.greatest("word_times", "word_fixed"), F.greatest("compound_times", "compound_fixed")
+        both = (F.col("left_times") >= 3) & (F.col("right_times") >= 3)
+        told = F.when((as_word > 0) | (as_compound > 0), as_word >= as_compound).when(F.col("mark").isin("-", "‐", "‑"), ~both).otherwise(True)
+        return judged.withColumn("is_split", told)
+
+    def misread(self) -> DataFrame:
+        """``row_id`` of rows with a wrongly recognised sign."""
+        records, wrong = self.records, self.wrong
+        by_word = records.filter("rec = 'word'").select("row_id", F.col("a").alias("word")).join(wrong, "word", "left_semi").select("row_id")
+        by_run = records.filter("rec = 'run'").select("row_id", "row_id2", "n", F.col("a").alias("word")).join(wrong.select("word", "at"), "word")
+        by_run = by_run.select(F.when(F.col("row_id2").isNotNull() & (F.col("at") >= F.col("n")), F.col("row_id2")).otherwise(F.col("row_id")).alias("row_id"))
+        by_split = self.judged.filter("is_split and word_fixed > 0").select(F.when(F.col("at") >= F.length("left"), F.col("row_id2")).otherwise(F.col("row_id")).alias("row_id"))
+        # compounds broken at their own mark are judged by their halves
+        halves = self.judged.filter("not is_split")
+        by_half = halves.select("row_id", F.col("left").alias("word")).union(halves.select("row_id2", "right")).join(wrong, "word", "left_semi").select("row_id")
+        by_sign = records.filter("rec = 'sign'").join(F.broadcast(self.signs), ["a", "b", "c"], "left_semi").select("row_id")
+        by_kanji = records.filter("rec = 'kanji'").join(self.kanji, ["a", "b", "c"], "left_semi").select("row_id")
+        return by_word.union(by_run).union(by_split).union(by_half).union(by_sign).union(by_kanji).distinct()
+
+    def noise(self) -> DataFrame:
+        """``row_id, noise`` of every noisy row."""
+        splits = self.judged.filter("is_split").select("row_id").distinct().select("row_id", F.lit("split_word").alias("noise"))
+        return self.edges.union(splits).union(self.misread().select("row_id", F.lit("misread").alias("noise")))
+
+    def fixes(self) -> DataFrame:
+        """``row_id, fixes``: what is to be put right in the text to which a row belongs: (before, old, after, new); for words, and
+        runs of katakana, before and after are null."""
+        named = lambda df, old: df.select("row_id", F.lit(None).cast("string").alias("before"), F.col(old).alias("old"), F.lit(None).cast("string").alias("after"), "new")
+        wrong = self.wrong.select("word", "new")
+        words = named(self.records.filter("rec in ('word', 'run')").select("row_id", F.col("a").alias("word")).join(wrong, "word"), "word")
+        joined = self.judged.select("row_id", F.when(F.col("is_split"), F.concat("left", "right")).otherwise(F.concat_ws("-", "left", "right")).alias("word"))
+        parts = named(joined.join(wrong, "word"), "word")
+        places = lambda rec, table: self.records.filter(f"rec = '{rec}'").join(table, ["a", "b", "c"]).select("row_id", F.col("a").alias("before"), F.col("b").alias("old"), F.col("c").alias("after"), F.col("d").alias("new"))
+        found = words.union(parts).union(places("kanji", self.kanji)).union(places("sign", F.broadcast(self.signs)))
+        return found.groupBy("row_id").agg(F.collect_set(F.struct("before", "old", "after", "new")).alias("fixes"))
+
+
+def find_noise(rows: DataFrame) -> DataFrame:
+    """``row_id, noise`` of every noisy row: running_head, page_number, split_word, misread.
+
+    ``rows`` has row_id, volume, page, line, title. Rows with one ``row_id`` count once; a null line is text without
+    words, a null page is page 0, a null volume one of its own, a null title unknown. Empty tables give no rows;
+    other columns are not read. Volumes and rows of any length are read whole.
+    """
+    return Reading(rows).noise()
 
 
 def volume_rows(manga: DataFrame, pages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -380,40 +470,68 @@ def volume_rows(manga: DataFrame, pages: DataFrame, sources: DataFrame) -> DataF
     return rows.join(pages.select("row_id", "page").dropDuplicates(["row_id"]), "row_id", "left").join(titles, "source_id", "left")
 
 
+
+def put_right(text: str, fixes: list[tuple]) -> str:
+    """A text with its misread words, runs, signs and kanji replaced; case is kept."""
+    words = {f[1]: f[3] for f in fixes if f[0] is None}
+    places = {(f[0], f[1], f[2]): f[3] for f in fixes if f[0] is not None}
+
+    def word(hit):
+        old = hit.group()
+        new = words.get(old.lower().strip("'"))
+        if new is None:
+            return old
+        new = old[: len(old) - len(old.lstrip("'"))] + new + old[len(old.rstrip("'")) :]
+        return new.upper() if len(old) > 1 and old.isupper() else new[:1].upper() + new[1:] if old[:1].isupper() else new
+
+    if words:
+        text = _RUN.sub(lambda m: words.get(m.group(), m.group()), _WORD.sub(word, text))
+    if not places:
+        return text
+    out = list(text)
+    for i, char in enumerate(text):
+        before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
+        new = places.get((before, char, after)) or places.get((_class(before), char, _class(after)))
+        if new:
+            out[i] = new
+    return "".join(out)
+
+
 def paragraphs(rows: DataFrame) -> DataFrame:
     """``volume, paragraph, first_row, page, text``: the running text of each volume as paragraphs, in page order.
 
-    Heads and page numbers are left out, broken words joined. An indented row begins a paragraph; in text without
-    indents one ends with a row that ends a sentence well short of its page's longest row. A paragraph that reaches
-    over a block's end ends there.
+    Heads and page numbers are left out, broken words joined, misread signs put right. An indented row begins a paragraph; in
+    volumes without indents one ends with a row that ends a sentence well short of the volume's longest row. ``paragraph``
+    counts from 0 in the volume. Cases as in ``find_noise``.
     """
-    records, noise = find_noise(rows)
-    split = noise.filter("noise = 'split_word'").select("row_id", F.lit(True).alias("split"))
-    text = records.filter("rec = 'row' and a = 'text'").select("row_id", "page", "volume", F.col("b").alias("line"), F.floor(F.col("page") / BLOCK_PAGES).alias("block"))
+    found = Reading(rows)
+    split = found.judged.filter("is_split").select("row_id", F.lit(True).alias("split")).distinct()
+    text = found.text.withColumn("indented", F.col("line").startswith("　") | F.col("line").startswith("  "))
+    ended = F.rtrim("line").rlike("[。！？…!?.」』”\"]$")
+    facts = text.groupBy(F.coalesce("volume", F.lit("")).alias("v")).agg(F.max(F.length("line")).alias("longest"), F.max("indented").alias("indents"))
+    marked = text.withColumn("v", F.coalesce("volume", F.lit(""))).join(facts, "v")
+    marked = settle(marked.withColumn("ends", F.when(ended & (F.length("line") < 0.8 * F.col("longest")), "e").otherwise("n")), "marks")
+    seen = running(marked, ["volume"], "key", lasts={"before": F.col("ends")}, inclusive=False, bucket=_BUCKET)
+    begins = F.when(F.col("indents"), F.col("indented")).otherwise(F.coalesce(F.col("before") == "e", F.lit(False)))
+    seen = settle(seen.withColumn("begins", F.when(begins & (F.col("at") > 1), 1).otherwise(0)), "begins")
+    numbered = running(seen, ["volume"], "key", sums={"paragraph": F.col("begins")}, bucket=_BUCKET)
+    rows = numbered.join(split, "row_id", "left").join(found.fixes(), "row_id", "left")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["page", "row_id"])
-        lines = frame["line"].tolist()
-        longest = max((len(x) for x in lines), default=0)
-        indents = sum(rows_indented(x) for x in lines) > 0
-        done, parts, first, page, glue = [], [], None, None, False
-        for k, (line, row, at, broken) in enumerate(zip(lines, frame["row_id"], frame["page"], frame["split"])):
-            begins = rows_indented(line) if indents else bool(k and _ENDED.search(lines[k - 1]) and len(lines[k - 1]) < 0.8 * longest)
-            if begins and parts:
-                done.append((key[0], len(done), first, page, "".join(parts).strip()))
-                parts, first = [], None
-            if first is None:
-                first, page = row, at
+        frame = frame.sort_values("at")
+        parts, fixes, glue = [], [], False
+        for line, broken, own in zip(frame["line"], frame["split"], frame["fixes"], strict=True):
             body = line.strip()
             if broken is True:
-                body = body.rstrip().rstrip(MARKS)
+                body = body.rstrip(MARKS)
             if parts and not glue and not _JA.search(body[:1] + parts[-1][-1:]):
                 parts.append(" ")
             parts.append(body)
             glue = broken is True or body.endswith("-")
-        if parts:
-            done.append((key[0], len(done), first, page, "".join(parts).strip()))
-        return pd.DataFrame(done, columns=["volume", "paragraph", "first_row", "page", "text"]).astype({"paragraph": "int32", "first_row": "int64", "page": "int32"})
+            if own is not None and not isinstance(own, float):
+                fixes += [(f["before"], f["old"], f["after"], f["new"]) for f in own]
+        text = put_right("".join(parts).strip(), fixes)
+        out = (frame["volume"].iloc[0], int(frame["paragraph"].iloc[0]), int(frame["row_id"].iloc[0]), int(frame["page"].iloc[0]), text)
+        return pd.DataFrame([out], columns=["volume", "paragraph", "first_row", "page", "text"])
 
-    joined = text.join(split, "row_id", "left")
-    return joined.groupBy("volume", "block").applyInPandas(run, "volume string, paragraph int, first_row long, page int, text string")
+    return rows.groupBy("volume", "paragraph").applyInPandas(run, "volume string, paragraph long, first_row long, page int, text string")
