@@ -1,9 +1,13 @@
 """Problem 4: one form for texts that look the same.
 
-DuckDB runs inside the Arrow partitions: one embedded SQL expression removes invisible characters, maps
-width and compatibility forms, kinds of space and look-alike letters by ``translate``, composes by
-``nfc_normalize`` and cuts trailing space. What a reader sees as different stays different: letter case,
-accents and voicing marks, small kana, raised, lowered and circled figures.
+DuckDB runs inside the Arrow partitions, with two embedded SQL expressions. Both remove invisible characters, map width and
+compatibility forms and kinds of space by ``translate``, compose by ``nfc_normalize`` and cut trailing space. The *look* of a
+text then maps every look-alike letter to one: texts that look the same have one look, which is a key and no text to read. Its
+*readable* form changes a look-alike only towards the script of its own word: among Latin letters to the Latin one, between
+katakana to the katakana; 一人 stays, and so does a word wholly Cyrillic or Greek. What a reader sees as different stays
+different: letter case, accents and voicing marks, small kana, raised, lowered and circled figures.
+
+Of the readable forms of one look the most frequent in the corpus is the uniform text of all of them (``uniform_texts``).
 """
 
 from __future__ import annotations
@@ -64,39 +68,101 @@ def uniform_sql(column: str) -> str:
     return f"rtrim(nfc_normalize({step}))"
 
 
-def with_uniform(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``df`` with a uniform form for text columns; ``columns``: name of the new column by that of the text.
+# Letters of a word that may hold Latin look-alikes.
+_LETTERS = "A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u052f\u0531-\u0587\u13a0-\u13f5\u2160-\u217f\u0300-\u036f"
+_KATA = "".join(chr(c) for c in (*range(0x30A1, 0x30FB), 0x30FC))
 
-    Null stays null; an empty text, or one of invisible characters only, becomes empty; texts of any length are
-    taken whole. A new name must not stand in ``df`` yet. Rows are neither merged nor dropped.
-    """
-    clash = [new for new in columns.values() if new in df.columns]
+
+def _script_tables() -> tuple[str, str, str, str]:
+    """The look-alikes of Latin letters, and of katakana, as (from, to) each."""
+    latin: dict[str, str] = {}
+    kana: dict[str, str] = {}
+    for entry in LOOKALIKES.split():
+        one, others = entry.split(":")
+        into = latin if one.isascii() and one.isalpha() or one in "ëïË" else kana if one in _KATA else None
+        if into is not None:
+            into |= {c: one for c in others}
+    return "".join(latin), "".join(latin.values()), "".join(kana), "".join(kana.values())
+
+
+def readable_sql(column: str) -> str:
+    """The SQL expression for the readable form of ``column``."""
+    width_from, width_to, *_ = _tables()
+    latin_from, latin_to, kana_from, kana_to = _script_tables()
+    step = f"regexp_replace({column}, {_quoted('[' + INVISIBLE + ']')}, '', 'g')"
+    step = f"rtrim(nfc_normalize(translate({step}, {_quoted(width_from)}, {_quoted(width_to)})))"
+    words = f"regexp_extract_all(s, '[{_LETTERS}]+|[^{_LETTERS}]+')"
+    latin = f"""CASE WHEN regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, {_quoted('[' + latin_from + ']')}) THEN
+      array_to_string(list_transform({words}, lambda x: CASE WHEN regexp_matches(x, '[A-Za-z]') THEN translate(x, {_quoted(latin_from)}, {_quoted(latin_to)}) ELSE x END), '') ELSE s END"""
+    true_kata, any_kata = _quoted(_KATA), _quoted(_KATA + kana_from)
+    at = lambda i, held: f"(length(s[{i}:{i}]) > 0 AND contains({held}, s[{i}:{i}]))"
+    between = f"(({at('i - 1', true_kata)} AND {at('i + 1', any_kata)}) OR ({at('i - 1', any_kata)} AND {at('i + 1', true_kata)}))"
+    kana = f"""CASE WHEN regexp_matches(s, {_quoted('[' + _KATA + ']')}) AND regexp_matches(s, {_quoted('[' + kana_from + ']')}) THEN
+      array_to_string(list_transform(generate_series(1, length(s)), lambda i: CASE WHEN i > 1 AND contains({_quoted(kana_from)}, s[i:i]) AND {between}
+        THEN translate(s[i:i], {_quoted(kana_from)}, {_quoted(kana_to)}) ELSE s[i:i] END), '') ELSE s END"""
+    return f"(SELECT {kana} FROM (SELECT {latin} AS s FROM (SELECT {step} AS s)))"
+
+
+def _with_sql(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with new text columns by SQL expressions of DuckDB over each Arrow batch."""
+    clash = [new for new in columns if new in df.columns]
     if clash:
         raise ValueError(f"columns already there: {clash}")
-    listed = ", ".join(f"{uniform_sql(_ident(text))} AS {_ident(new)}" for text, new in columns.items())
-    sql = f"SELECT *, {listed} FROM batch"
+    sql = "SELECT " + ", ".join(f"{expr} AS {_ident(new)}" for new, expr in columns.items()) + " FROM batch"
     schema = StructType(list(df.schema.fields))
-    for new in columns.values():
+    for new in columns:
         schema = schema.add(new, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": "true"})
         con.sql("SET TimeZone = 'UTC'")
         for held in batches:
             con.register("batch", pa.Table.from_batches([held]))
             out = con.sql(sql).to_arrow_table()
             con.unregister("batch")
-            # DuckDB gives the columns it was not asked to change back as they were
+            # the columns that DuckDB was not asked to change go on as they were
             arrays = [held.column(i) for i in range(held.num_columns)]
-            arrays += [out.column(n).combine_chunks().cast(pa.string()) for n in columns.values()]
+            arrays += [out.column(n).combine_chunks().cast(pa.string()) for n in columns]
             arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*held.schema.names, *columns.values()])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*held.schema.names, *columns])
 
     return df.mapInArrow(run, schema)
 
 
+def with_uniform(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with the look of text columns; ``columns``: name of the new column by that of the text.
+
+    Null stays null; an empty text, or one of invisible characters only, becomes empty; texts of any length are
+    taken whole. A new name must not stand in ``df`` yet. Rows are neither merged nor dropped.
+    """
+    return _with_sql(df, {new: uniform_sql(_ident(text)) for text, new in columns.items()})
+
+
+def uniform_texts(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """``key`` and the uniform text of text columns: of the readable forms that look the same the most frequent, over all columns.
+
+    Rows of one key count once. Null stays null. Forms are counted before they come together, and only looks with several
+    forms are joined back. Ties go to the form that is first in order.
+    """
+    once = df.filter(F.col(key).isNotNull()).select(key, *columns).dropDuplicates([key])
+    sql = {f"__look{i}": uniform_sql(_ident(c)) for i, c in enumerate(columns)} | {f"__form{i}": readable_sql(_ident(c)) for i, c in enumerate(columns)}
+    rows = settle(_with_sql(once, sql).drop(*columns), "forms")
+    pairs = None
+    for i in range(len(columns)):
+        own = rows.filter(f"__form{i} is not null").groupBy(F.xxhash64(f"__look{i}").alias("look"), F.col(f"__form{i}").alias("form")).agg(F.count("*").alias("n"))
+        pairs = own if pairs is None else pairs.unionByName(own)
+    counted = pairs.groupBy("look", "form").agg(F.sum("n").alias("n"))
+    best = counted.groupBy("look").agg(F.count("*").alias("forms"), F.min(F.struct(-F.col("n"), "form"))["form"].alias("best")).filter("forms > 1").drop("forms")
+    best = settle(best, "best")
+    out = rows
+    for i, new in enumerate(columns.values()):
+        out = out.withColumn("look", F.xxhash64(f"__look{i}")).join(best.withColumnRenamed("best", f"__best{i}"), "look", "left").drop("look")
+        out = out.withColumn(new, F.when(F.col(f"__form{i}").isNotNull(), F.coalesce(f"__best{i}", f"__form{i}")))
+    return out.select(key, *columns.values())
+
+
 def _ident(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -119,7 +185,7 @@ def same_looking_pairs(df: DataFrame, group: str, text: str, others: tuple[str,
     Rows with one ``row_id`` count once; rows of ``leave_out`` (a column ``row_id``), garbled rows and rows with
     formatting syntax are left out. Null or empty texts, and rows of a null group, are in no pair; ``others`` that are
     null on one side only do not count as different. Every pair is given, as the cases are pairs; rows that agree in
-    all texts are no pair. An empty table gives no rows.
+    all texts are no pair and are never compared. An empty table gives no rows.
     """
     names = ["__id", "__group", "__text", *(f"__o{i}" for i in range(len(others)))]
     taken = df.select(row_id, group, text, *others).toDF(*names).filter("__id is not null and __group is not null and __text is not null")
@@ -130,13 +196,16 @@ def same_looking_pairs(df: DataFrame, group: str, text: str, others: tuple[str,
     if leave_out is not None:
         rows = rows.join(leave_out.select(F.col("row_id").alias("__id")), "__id", "left_anti")
     rows = settle(rows, "rows")
-    a = rows.select(*[F.col(c).alias(f"a{c}") for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"b{c}") for c in rows.columns])
-    differ = F.col("a__text") != F.col("b__text")
+    # pairs of different forms first, each form once however many rows have it; then the rows of both
+    texts = names[1:]
+    forms = rows.groupBy("__key", "__form").agg(F.min(F.struct(*texts, "__look")).alias("t"))
+    a, b = (forms.select("__key", F.col("__form").alias(f"form_{x}"), F.col("t").alias(f"t_{x}")) for x in "ab")
+    differ = F.col("t_a.__text") != F.col("t_b.__text")
     for name in names[3:]:
-        differ = differ | F.coalesce(F.col(f"a{name}") != F.col(f"b{name}"), F.lit(False))
-    same = (F.col("a__key") == F.col("b__key")) & (F.col("a__group") == F.col("b__group")) & (F.col("a__look") == F.col("b__look"))
-    return (
-        a.join(b, same & (F.col("a__id") < F.col("b__id")) & differ)
-        .select(F.col("a__id").alias("row_id_a"), F.col("b__id").alias("row_id_b"))
-    )
+        differ = differ | F.coalesce(F.col(f"t_a.{name}") != F.col(f"t_b.{name}"), F.lit(False))
+    same = (F.col("t_a.__group") == F.col("t_b.__group")) & (F.col("t_a.__look") == F.col("t_b.__look"))
+    pairs = a.join(b, "__key").filter((F.col("form_a") < F.col("form_b")) & same & differ).select("__key", "form_a", "form_b")
+    ids = rows.select("__key", "__form", "__id")
+    left = pairs.join(ids.select("__key", F.col("__form").alias("form_a"), F.col("__id").alias("x")), ["__key", "form_a"])
+    both = left.join(ids.select("__key", F.col("__form").alias("form_b"), F.col("__id").alias("y")), ["__key", "form_b"])
+    return both.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))

@@ -61,8 +61,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "subtitles").select("row_id", "line", "clean_text").dropDuplicates(["row_id"])
-    return lookalike.with_uniform(rows, {"line": "uniform_line", "clean_text": "uniform_text"}).select("row_id", "uniform_line", "uniform_text")
+    return lookalike.uniform_texts(table(spark, sf_dir, "subtitles"), "row_id", {"line": "uniform_line", "clean_text": "uniform_text"})
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
