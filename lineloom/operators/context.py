@@ -69,3 +69,41 @@ def page_edges(starts: list[int], total: int, offset: int, limit: int) -> tuple[
     snap = lambda at: next((s for s in starts if at <= s < at + 4 * limit), at)
     begin = 0 if offset <= 0 else min(snap(offset), total)
     return begin, min(max(snap(begin + limit), begin), total)
+
+
+def folder_page(tree: DataFrame, files: DataFrame, path: str, sort: str = "name", limit: int | None = None, offset: int = 0) -> DataFrame:
+    """``kind, name, path, lines`` of what a folder holds: folders first, then files. ``tree`` is ``library.folder_tree``, ``files`` has
+    ``path, n_lines, order_key``."""
+    inside = tree.filter(F.col("parent") == path).select(F.lit(0).alias("k"), F.lit("folder").alias("kind"), "name", "path", F.col("lines").cast("long").alias("lines"), "order_key")
+    base = F.regexp_replace("path", r"\\", "/")
+    above = F.regexp_replace(base, "/?[^/]*$", "")
+    own = files.filter(above == path).select(F.lit(1).alias("k"), F.lit("file").alias("kind"), F.regexp_extract(base, "([^/]*)$", 1).alias("name"), base.alias("path"), F.col("n_lines").cast("long").alias("lines"), "order_key")
+    keys = {"lines_desc": [F.desc("lines")], "lines_asc": [F.asc("lines")]}.get(sort, [F.asc("order_key")])
+    rows = inside.unionByName(own).orderBy("k", *keys, "name")
+    rows = rows.offset(offset) if offset else rows
+    return (rows.limit(limit) if limit else rows).drop("k", "order_key")
+
+
+def file_page(lines: DataFrame, file: str, limit: int, offset: int = 0, hits=None) -> DataFrame:
+    """A page of a file's rows in order with ``fold``, where its section changes, and ``hit``; with ``hits`` rows that match only."""
+    from .windows import fold_starts
+
+    rows = lines.filter(F.col("file") == file).dropDuplicates(["row_id"])
+    rows = fold_starts(rows, ["source_id"], "row_id", "section_no")
+    rows = rows.withColumn("hit", hits if hits is not None else F.lit(False))
+    if hits is not None:
+        rows = rows.filter("hit")
+    return rows.orderBy("row_id").offset(offset).limit(limit)
+
+
+def place_of(lines: DataFrame, file: str, row_id: int, text: str) -> DataFrame:
+    """``row_id, offset`` of a saved position, if the row still stands there with its text."""
+    rows = lines.filter(F.col("file") == file).dropDuplicates(["row_id"])
+    found = rows.filter((F.col("row_id") == row_id) & (F.col("line") == text)).select("row_id").withColumn("one", F.lit(1))
+    before = rows.filter(F.col("row_id") < row_id).agg(F.count("*").alias("offset")).withColumn("one", F.lit(1))
+    return found.join(before, "one").select("row_id", "offset")
+
+
+def nearest_row(lines: DataFrame, text: str, file: str, row_id: int) -> DataFrame:
+    """The row with a text that is nearest to a position, its file first."""
+    return lines.filter(F.col("line") == text).orderBy((F.col("file") != file).cast("int"), F.abs(F.col("row_id") - row_id), "row_id").limit(1)

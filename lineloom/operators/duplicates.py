@@ -147,3 +147,52 @@ def track_families(files: DataFrame, name: str = "relpath") -> DataFrame:
 def actionable(groups: DataFrame) -> DataFrame:
     """Groups (``keeper, member``) whose keeper is not itself dropped for another's."""
     return groups.join(groups.select(F.col("member").alias("keeper")).distinct(), "keeper", "left_anti")
+
+
+def text_duplicates(files: DataFrame, lines: DataFrame, threshold: float = 0.8, least_keys: int = 5) -> DataFrame:
+    """``doc, keeper, how``: files of the same bytes, else of the same trimmed text, else alike in ``threshold`` of both key sets.
+
+    ``files``: ``doc, sha, text_sha, rank`` (unique); ``lines``: ``doc, line``. The keeper is the best-ranked of its class; a chain
+    of copies leads to one keeper.
+    """
+    links = None
+    for column, how in (("sha", "same_bytes"), ("text_sha", "same_text")):
+        best = files.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct("rank", "doc"))["doc"].alias("keeper"))
+        own = files.join(best, column).filter("doc <> keeper").select("doc", "keeper", F.lit(how).alias("how"))
+        links = own if links is None else links.unionByName(own)
+    first = links.groupBy("doc").agg(F.min(F.struct(F.when(F.col("how") == "same_bytes", 0).otherwise(1).alias("o"), "keeper", "how")).alias("r")).select("doc", "r.keeper", "r.how")
+    first = settle(first, "copies")
+    keys = line_keys(lines, "doc", "line").join(first.select("doc"), "doc", "left_anti")
+    many = keys.groupBy("doc").agg(F.count("*").alias("n")).filter(F.col("n") >= least_keys)
+    pairs = settle(similar_pairs(keys.join(many.select("doc"), "doc", "left_semi"), threshold), "pairs")
+    member = components(pairs).join(files.select(F.col("doc").alias("node"), "rank"), "node").join(many.withColumnRenamed("doc", "node"), "node")
+    best = member.groupBy("component").agg(F.min(F.struct(-F.col("n"), "rank", "node"))["node"].alias("keeper"))
+    near = member.join(best, "component").filter("node <> keeper").select(F.col("node").alias("doc"), "keeper", F.lit("similar_text").alias("how"))
+    near = settle(near, "near")
+    moved = near.select(F.col("doc").alias("keeper"), F.col("keeper").alias("moved"))
+    return first.join(moved, "keeper", "left").select("doc", F.coalesce("moved", "keeper").alias("keeper"), "how").unionByName(near)
+
+
+def recommend(files: DataFrame, keys: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """``doc, keeper, how`` for caption files ``doc, relpath, scope, sha, rank``: language tracks of one stem, then copies of the same
+    bytes within a show, then files of a show that share ``threshold`` of both key sets with a better one."""
+    tracks = track_families(files).filter("keep").select("directory", "stem", F.col("relpath").alias("best"))
+    family = track_families(files).filter("not keep").join(tracks, ["directory", "stem"]).select("relpath", "best")
+    names = files.select("doc", "relpath")
+    one = family.join(names, "relpath").join(names.select(F.col("doc").alias("keeper"), F.col("relpath").alias("best")), "best").select("doc", "keeper", F.lit("tracks").alias("how"))
+    left = files.join(one.select("doc"), "doc", "left_anti")
+    best = left.filter("sha is not null").groupBy("scope", "sha").agg(F.min(F.struct("rank", "doc"))["doc"].alias("keeper"))
+    two = left.join(best, ["scope", "sha"]).filter("doc <> keeper").select("doc", "keeper", F.lit("same_bytes").alias("how"))
+    rest = left.join(two.select("doc"), "doc", "left_anti")
+    three = leaders_in_scope(rest, keys.join(rest.select("doc"), "doc", "left_semi"), "scope", "rank", threshold).select("doc", "keeper", F.lit("same_lines").alias("how"))
+    return one.unionByName(two).unionByName(three)
+
+
+def has_author_ruby(line: Column) -> Column:
+    """Whether a line that is no song has kana over kanji in bar notation."""
+    return F.coalesce(~line.rlike("[♪♬]") & line.rlike(r"｜[^｜()\n]*[一-鿿々][^｜()\n]*\([ぁ-ゖァ-ヺー・ 　]+\)"), F.lit(False))
+
+
+def sample_files(files: DataFrame, share_of: int, key: str = "relpath") -> DataFrame:
+    """About one file in ``share_of``, the same ones each time: those of certain hashes."""
+    return files.filter(F.pmod(F.xxhash64(key), F.lit(share_of)) == 0)

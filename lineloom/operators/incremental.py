@@ -171,9 +171,18 @@ def update_index(spark: SparkSession, path: str, fresh: DataFrame, removed: Data
     stored = spark.read.parquet(path)
     part = stored.join(F.broadcast(touched), ["media", "bucket"], "left_semi").drop("bucket")
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    touched = touched.persist()
     upsert(part, fresh, removed).write.parquet(staged)
-    write_index(spark.read.parquet(staged), path, buckets)
-    _hadoop_path(spark, staged)[0].delete(_hadoop_path(spark, staged)[1], True)
+    rows = spark.read.parquet(staged)
+    # a bucket that lost all its rows is written by nobody; there are no more of them than media times buckets
+    empty = touched.join(rows.select("media", bucket.alias("bucket")).distinct(), ["media", "bucket"], "left_anti").collect()
+    write_index(rows, path, buckets)
+    for r in empty:
+        fs, place = _hadoop_path(spark, f"{path.rstrip('/')}/media={r['media']}/bucket={r['bucket']}")
+        fs.delete(place, True)
+    touched.unpersist()
+    fs, place = _hadoop_path(spark, staged)
+    fs.delete(place, True)
 
 
 def _hadoop_path(spark: SparkSession, path: str):
