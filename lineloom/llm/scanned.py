@@ -20,6 +20,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pandas as pd
 import regex
@@ -35,6 +36,8 @@ from .visible import words_only
 BLOCK_ROWS, CONTEXT_ROWS = 4096, 8
 #: How many times as frequent as a word, sign or kanji its correction must be; the least places and share of them that tell of a kanji.
 WORD_RATIO, SIGN_RATIO, KANJI_RATIO, KANJI_PLACES, KANJI_SHARE = 8, 6, 8, 3, 0.6
+#: Paragraphs that are joined together.
+PARAGRAPHS = 128
 #: Pages in a bucket of the order of rows: the page stands above the row number.
 _PAGE, _BUCKET = 40, 1 << 46
 
@@ -518,20 +521,25 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     rows = numbered.join(split, "row_id", "left").join(found.fixes(), "row_id", "left")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        done = []
         frame = frame.sort_values("at")
-        parts, fixes, glue = [], [], False
-        for line, broken, own in zip(frame["line"], frame["split"], frame["fixes"], strict=True):
-            body = line.strip()
-            if broken is True:
-                body = body.rstrip(MARKS)
-            if parts and not glue and not _JA.search(body[:1] + parts[-1][-1:]):
-                parts.append(" ")
-            parts.append(body)
-            glue = broken is True or body.endswith("-")
-            if own is not None and not isinstance(own, float):
-                fixes += [(f["before"], f["old"], f["after"], f["new"]) for f in own]
-        text = put_right("".join(parts).strip(), fixes)
-        out = (frame["volume"].iloc[0], int(frame["paragraph"].iloc[0]), int(frame["row_id"].iloc[0]), int(frame["page"].iloc[0]), text)
-        return pd.DataFrame([out], columns=["volume", "paragraph", "first_row", "page", "text"])
-
-    return rows.groupBy("volume", "paragraph").applyInPandas(run, "volume string, paragraph long, first_row long, page int, text string")
+        columns = [frame[c].tolist() for c in ("paragraph", "row_id", "page", "line", "split", "fixes")]
+        for number, own in groupby(zip(*columns, strict=True), key=lambda r: r[0]):
+            parts, fixes, glue, first = [], [], False, None
+            for _, row, page, line, broken, fix in own:
+                first = first or (row, page)
+                body = line.strip()
+                if broken is True:
+                    body = body.rstrip(MARKS)
+                if parts and not glue and not _JA.search(body[:1] + parts[-1][-1:]):
+                    parts.append(" ")
+                parts.append(body)
+                glue = broken is True or body.endswith("-")
+                if fix is not None and not isinstance(fix, float):
+                    fixes += [(f["before"], f["old"], f["after"], f["new"]) for f in fix]
+            done.append((frame["volume"].iloc[0], number, *first, put_right("".join(parts).strip(), fixes)))
+        return pd.DataFrame(done, columns=["volume", "paragraph", "first_row", "page", "text"])
+
+    # some paragraphs at a time: a group costs more than a paragraph
+    rows = rows.withColumn("some", F.floor(F.col("paragraph") / PARAGRAPHS))
+    return rows.groupBy("volume", "some").applyInPandas(run, "volume string, paragraph long, first_row long, page int, text string")
