@@ -467,3 +467,23 @@ def find_garbled(df: DataFrame, text: str, keys: tuple[str, ...] = ("row_id",))
 
     taken = df.select(*keys, F.col(text).cast("string").alias("__text")).filter("__text is not null")
     return taken.mapInArrow(run, schema).dropDuplicates(list(keys))
+
+
+def restore_texts(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the garbled lines of a text column restored where all of a line can be; other lines stay as they are.
+
+    Null stays null; all other columns and all rows stay.
+    """
+
+    def one(whole: str | None) -> str | None:
+        if whole is None or whole.isascii():
+            return whole
+        return "\n".join(repair(line)[1] or line for line in whole.split("\n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            new = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)

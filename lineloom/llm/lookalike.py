@@ -95,11 +95,15 @@ def readable_sql(column: str) -> str:
     latin = f"""CASE WHEN regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, {_quoted('[' + latin_from + ']')}) THEN
       array_to_string(list_transform({words}, lambda x: CASE WHEN regexp_matches(x, '[A-Za-z]') THEN translate(x, {_quoted(latin_from)}, {_quoted(latin_to)}) ELSE x END), '') ELSE s END"""
     true_kata, any_kata = _quoted(_KATA), _quoted(_KATA + kana_from)
-    at = lambda i, held: f"(length(s[{i}:{i}]) > 0 AND contains({held}, s[{i}:{i}]))"
+    # neighbours are looked at within runs of katakana and what looks like them, which are short however long the text is
+    at = lambda i, held: f"(length(x[{i}:{i}]) > 0 AND contains({held}, x[{i}:{i}]))"
     between = f"(({at('i - 1', true_kata)} AND {at('i + 1', any_kata)}) OR ({at('i - 1', any_kata)} AND {at('i + 1', true_kata)}))"
-    kana = f"""CASE WHEN regexp_matches(s, {_quoted('[' + _KATA + ']')}) AND regexp_matches(s, {_quoted('[' + kana_from + ']')}) THEN
-      array_to_string(list_transform(generate_series(1, length(s)), lambda i: CASE WHEN i > 1 AND contains({_quoted(kana_from)}, s[i:i]) AND {between}
-        THEN translate(s[i:i], {_quoted(kana_from)}, {_quoted(kana_to)}) ELSE s[i:i] END), '') ELSE s END"""
+    either = _KATA + kana_from
+    mended = f"""array_to_string(list_transform(generate_series(1, length(x)), lambda i: CASE WHEN i > 1 AND contains({_quoted(kana_from)}, x[i:i]) AND {between}
+        THEN translate(x[i:i], {_quoted(kana_from)}, {_quoted(kana_to)}) ELSE x[i:i] END), '')"""
+    has_kata, has_alike = f"regexp_matches({{0}}, {_quoted('[' + _KATA + ']')})", f"regexp_matches({{0}}, {_quoted('[' + kana_from + ']')})"
+    kana = f"""CASE WHEN {has_kata.format('s')} AND {has_alike.format('s')} THEN
+      array_to_string(list_transform(regexp_extract_all(s, {_quoted(f'[{either}]+|[^{either}]+')}), lambda x: CASE WHEN {has_kata.format('x')} AND {has_alike.format('x')} THEN {mended} ELSE x END), '') ELSE s END"""
     return f"(SELECT {kana} FROM (SELECT {latin} AS s FROM (SELECT {step} AS s)))"
 
 
@@ -140,6 +144,11 @@ def with_uniform(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return _with_sql(df, {new: uniform_sql(_ident(text)) for text, new in columns.items()})
 
 
+def with_readable(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with the readable form of text columns. Cases as in ``with_uniform``."""
+    return _with_sql(df, {new: readable_sql(_ident(text)) for text, new in columns.items()})
+
+
 def uniform_texts(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     """``key`` and the uniform text of text columns: of the readable forms that look the same the most frequent, over all columns.
 

@@ -53,3 +53,13 @@ def test_rows_given_twice_nulls_and_long_texts():
     df = spark.createDataFrame(rows, "row_id long, line string, garbled int".replace("int", "string"))
     assert sorted((r.row_id, len(r.restored)) for r in find_garbled(df, "line").collect()) == [(1, 6), (4, 30_006)]
     assert find_garbled(df.limit(0), "line").count() == 0
+
+
+def test_texts_are_restored_line_by_line():
+    from lineloom.llm.garbled import restore_texts
+
+    spark = local_session(2, 8)
+    ship(spark)
+    bad = _misread("これは駅です", "utf-8", "latin-1")
+    df = spark.createDataFrame([(1, f"駅\n{bad}\nabc", "x"), (2, None, "y"), (3, "lost \ufffd", "z")], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in restore_texts(df, "text").orderBy("doc_id").collect()] == [(1, "駅\nこれは駅です\nabc", "x"), (2, None, "y"), (3, "lost \ufffd", "z")]

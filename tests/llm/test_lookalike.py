@@ -51,3 +51,11 @@ def test_pairs_agree_with_brute_force(spark):
 def test_a_name_that_is_taken_is_refused(spark):
     with pytest.raises(ValueError):
         with_uniform(spark.createDataFrame([("a", "b")], "t string, look string"), {"t": "look"})
+
+
+def test_a_long_text_is_mended_throughout(spark):
+    from lineloom.llm.lookalike import with_readable
+
+    text = "カ一ドと一人。pаper " * 20_000
+    found = with_readable(spark.createDataFrame([(text,), (None,)], "t string"), {"t": "u"}).collect()
+    assert found[0].u == ("カードと一人。paper " * 20_000).rstrip() and found[1].u is None
