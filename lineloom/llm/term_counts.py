@@ -26,7 +26,7 @@ _OUT = pa.schema(
 )
 
 
-def _count(field: str, texts: pa.Array, separators: str, max_n: int) -> Iterator[pa.RecordBatch]:
+def _count(field: str, texts: pa.Array, separators: str, max_n: int | None) -> Iterator[pa.RecordBatch]:
     texts = texts.cast(pa.large_string()).combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts.cast(pa.large_string())
     split = pc.split_pattern_regex(texts, f"[{separators}]+")
     terms, record = pc.list_flatten(split), pc.list_parent_indices(split)
@@ -40,8 +40,10 @@ def _count(field: str, texts: pa.Array, separators: str, max_n: int) -> Iterator
     ends = np.flatnonzero(np.append(record[1:] != record[:-1], True))
     seq = np.insert(codes, ends + 1, -1 - np.arange(len(ends)))
     owner = np.insert(record, ends + 1, -1 - np.arange(len(ends)))
-    index = SuffixIndex(seq, max_n)
-    for n in range(1, max_n + 1):
+    longest = int(np.diff(np.append(-1, ends)).max())
+    most = longest if max_n is None else min(max_n, longest)
+    index = SuffixIndex(seq, most)
+    for n in range(1, most + 1):
         starts, occurrences, records = index.counts(n, owner)
         at = index.order[starts]
         ok = at + n <= len(seq)
@@ -60,9 +62,11 @@ def _count(field: str, texts: pa.Array, separators: str, max_n: int) -> Iterator
 
 
 def term_counts(
-    df: DataFrame, fields: tuple[str, ...], row_id: str = "row_id", separators: str = " \t\u3000", max_n: int = 1
+    df: DataFrame, fields: tuple[str, ...], row_id: str = "row_id", separators: str = " \t\u3000", max_n: int | None = 1
 ) -> DataFrame:
-    """``field, n, term, occurrences, records`` of every n-gram of up to ``max_n`` terms in each of ``fields``.
+    """``field, n, term, occurrences, records`` of every n-gram of up to ``max_n`` terms, or of any length, in each of ``fields``.
+
+    Without ``max_n`` the rows of the result are as many as the squares of the lengths of the records; that is for short ones.
 
     A term is a run of characters without a separator, taken as written; n-grams never cross records. Rows with
     the same ``row_id`` count once. Null, empty and blank texts have no terms; an empty table gives no rows;
@@ -100,6 +104,7 @@ def marked_terms(
 ) -> DataFrame:
     """``term_counts`` with ``mark``: rare (in at most ``rare_records``), common (in more than ``common_share`` of all
     rows, rows with null included), else null. A term that is both, as in tiny tables, is rare."""
-    total = df.select(row_id).distinct().count()
-    mark = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > common_share * total, "common")
-    return term_counts(df, fields, row_id, **kw).withColumn("mark", mark)
+    total = df.select(row_id).distinct().agg(F.count("*").alias("__total")).withColumn("__one", F.lit(1))  # one row
+    mark = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > common_share * F.col("__total"), "common")
+    counted = term_counts(df, fields, row_id, **kw).withColumn("__one", F.lit(1))
+    return counted.join(F.broadcast(total), "__one").withColumn("mark", mark).drop("__one", "__total")
