@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import empty_texts, garbled, language, leaks, lookalike, packing
 from lineloom.session import ship, table
 
+HERE = importlib.util.find_spec("lineloom.llm") is not None  # without that subpackage there are no stages
+if HERE:
+    from lineloom.llm import empty_texts, garbled, language, leaks, lookalike, packing
+
 
 def restored(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -45,4 +50,4 @@ STAGES = [
     ("p7 labelled", labelled),
     ("p9 without leaked passages", without_leaks),
     ("p8 packed", packed),
-]
+] if HERE else []
