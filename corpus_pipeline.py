@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lineloom.session import ship, table
 
-HERE = importlib.util.find_spec("lineloom.llm") is not None  # without that subpackage there are no stages
+_found = importlib.util.find_spec("lineloom.llm")
+HERE = _found is not None and bool(_found.origin)  # without that subpackage there are no stages
 if HERE:
     from lineloom.llm import empty_texts, garbled, language, leaks, lookalike, packing
 

@@ -168,7 +168,12 @@ def bound_auxiliary(spark, sf_dir):
     return tables.subtitles(spark, sf_dir).filter(predicates.bound_auxiliary("居る", "い")).select("row_id").distinct()
 
 
-@query(None)
+READ_SO = """CASE WHEN len(regexp_extract_all(coalesce(line, ''), '｜駅\\(([^()]*)\\)', 1)) > 0 THEN len(list_filter(regexp_extract_all(coalesce(line, ''), '｜駅\\(([^()]*)\\)', 1), lambda r: regexp_replace(r, '[ 　]', '', 'g') IN ('えき', 'えっ'))) > 0
+ELSE len(list_filter(list_zip(list_filter(string_split_regex(lower(coalesce(base_forms, '')), '[ \\t　]+'), lambda x: x <> ''), list_filter(string_split_regex(lower(coalesce(readings, '')), '[ \\t　]+'), lambda x: x <> '')), lambda x: x[1] = '駅' AND x[2] IN ('えき', 'えっ'))) > 0 END"""
+PREFILTER = "(contains(regexp_replace(coalesce(readings, ''), '[ \\t　]+', '', 'g'), 'えき') OR contains(regexp_replace(coalesce(readings, ''), '[ \\t　]+', '', 'g'), 'えっ') OR coalesce(regexp_matches(line, '｜([^｜()\\n]+)\\(([^()\\n]*)\\)'), false))"
+
+
+@query(_first(f"{has('駅')} AND contains(coalesce(clean_text, ''), '駅') AND {PREFILTER} AND {READ_SO}", "駅"))
 def reading_search(spark, sf_dir):
     return _shown(_engine(spark, sf_dir).search("駅=えき", limit=None).rows)
 
@@ -294,6 +299,27 @@ def relocate_rows(spark, sf_dir):
     return context.relocate(lines, moved.unionByName(away))
 
 
+@query("""WITH c AS (SELECT DISTINCT * FROM custom), f AS (SELECT row_id, line, row_number() OVER w AS n, section_no, lag(section_no) OVER w AS p FROM c WHERE file = (SELECT min(file) FROM custom) WINDOW w AS (PARTITION BY source_id ORDER BY row_id))
+SELECT row_id, n = 1 OR section_no IS DISTINCT FROM p AS fold FROM f ORDER BY row_id LIMIT 20 OFFSET 5""")
+def custom_file_page(spark, sf_dir):
+    rows = table(spark, sf_dir, "custom")
+    file = rows.agg(F.min("file").alias("f")).first().f
+    return context.file_page(rows, file, 20, 5).select("row_id", "fold")
+
+
+@query("""WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media, source_id ORDER BY format_version DESC, file_mtime_ns DESC, indexed_at DESC) AS rn FROM (SELECT DISTINCT * FROM sources)) WHERE rn = 1 AND media = 'custom')
+SELECT 'folder' AS kind, split_part(relpath, '/', 1) AS name, CAST(sum(coalesce(n_lines, 0)) AS BIGINT) AS lines FROM s WHERE contains(relpath, '/') GROUP BY ALL UNION ALL SELECT 'file', relpath, CAST(n_lines AS BIGINT) FROM s WHERE NOT contains(relpath, '/')""")
+def custom_folder_page(spark, sf_dir):
+    src = tables.sources(spark, sf_dir).filter("media = 'custom'").withColumn("path", F.col("relpath"))
+    return context.folder_page(library.folder_tree(src, F.col("relpath")), src, "").select("kind", "name", "lines")
+
+
+@query(f"WITH {SUBS} SELECT row_id FROM subs WHERE line = 'ありがとう。' ORDER BY file <> '松港の海 0000h/E006.ja.srt', abs(row_id - 7800), row_id LIMIT 1")
+def nearest_row(spark, sf_dir):
+    rows = tables.subtitles(spark, sf_dir).dropDuplicates(["row_id"])
+    return context.nearest_row(rows, "ありがとう。", "松港の海 0000h/E006.ja.srt", 7800).select("row_id")
+
+
 # ------------------------------------------------------------------ library
 
 WORK = """CASE media WHEN 'subs' THEN string_split_regex(relpath, '[\\\\/]')[1] WHEN 'custom' THEN coalesce(category, string_split_regex(relpath, '[\\\\/]')[1]) ELSE coalesce(title, regexp_replace(relpath, '(?i)\\.(epub|mokuro)$', '')) END"""
@@ -364,7 +390,9 @@ def estimate_index(spark, sf_dir):
     return library.estimate(files, sample)
 
 
-@query(None)
+@query(f"""WITH {SOURCES}, named AS (SELECT media, {WORK} AS folder, replace(relpath, chr(92), '/') AS path, relpath FROM src)
+SELECT media, folder, regexp_extract(path, '([^/]+?)(?:\\.[A-Za-z0-9]+)?$', 1) AS title, relpath AS file FROM named
+UNION ALL SELECT media, folder, title, min(relpath) FROM (SELECT media, folder, relpath, unnest(p[2:len(p) - 1]) AS title FROM (SELECT *, string_split(path, '/') AS p FROM named) WHERE len(p) > 2) GROUP BY media, folder, title""")
 def inner_names(spark, sf_dir):
     return library.inner_names(tables.sources(spark, sf_dir))
 
@@ -572,7 +600,8 @@ def learn_only(spark, sf_dir):
     return known.classify(rows, ("駅",), _vocabulary()).filter("i1").select("row_id")
 
 
-@query(None)
+@query(f"""WITH {SUBS}, lines AS (SELECT * FROM subs), {scored(has('駅'), '駅')}, {CLASSIFIED.replace("AND x <> '駅'", "AND x <> '駅'")}
+SELECT f.media, f.folder, f.row_id, f.line, f.chars, f.exact, round(f.score - 10 * CASE WHEN c.missing = 1 THEN 0 ELSE greatest(1, c.missing) END, 6) AS score FROM first f JOIN classed c ON f.row_id = c.row_id""")
 def learn_first(spark, sf_dir):
     return _shown(search.Engine(tables.subtitles(spark, sf_dir)).search("駅", limit=None, learn=(_vocabulary(), "first")).rows)
 
@@ -658,8 +687,14 @@ def keepers_by_rank(spark, sf_dir):
     return duplicates.keepers(files, "copies", [-F.coalesce(F.col("n"), F.lit(-1)), F.col("relpath")]).select("relpath", "keep")
 
 
-@query(None)
+@query(f"""WITH {PAIRS}, links AS (SELECT a, b, shared / greatest(x.size, y.size) AS share FROM pairs JOIN sizes x ON x.doc = a JOIN sizes y ON y.doc = b JOIN documents d ON d.doc_id = a JOIN documents e ON e.doc_id = b AND e.source = d.source
+  WHERE shared >= 0.5 * greatest(x.size, y.size) - 1e-9)
+SELECT b AS doc, min(a) AS keeper, round(arg_min(share, a), 6) AS share FROM links l WHERE NOT EXISTS (SELECT 1 FROM links m WHERE m.b = l.a) GROUP BY b""")
 def duplicate_leaders(spark, sf_dir):
+    return _leaders(spark, sf_dir).withColumn("share", F.round("share", 6))
+
+
+def _leaders(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("scope"), F.col("doc_id").alias("rank"))
     return duplicates.leaders_in_scope(files, _keys(spark, sf_dir), "scope", "rank", 0.5)
 
@@ -679,8 +714,38 @@ def sketched_containment(spark, sf_dir):
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.round(share, 6).alias("share"))
 
 
+@query("""WITH t AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL), b AS (SELECT sha, min(doc_id) AS keeper FROM t GROUP BY sha) SELECT doc_id AS doc, keeper FROM t JOIN b ON t.sha = b.sha WHERE doc_id <> keeper""")
+def same_text_duplicates(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("text_sha"), F.lit(None).cast("string").alias("sha"), F.col("doc_id").alias("rank"))
+    none = spark.createDataFrame([], "doc long, line string")
+    return duplicates.text_duplicates(documents, none).select("doc", "keeper")
+
+
+@query(f"WITH {SUBS} SELECT row_id, coalesce(NOT regexp_matches(line, '[♪♬]') AND regexp_matches(line, '｜[^｜()\\n]*[一-鿿々][^｜()\\n]*\\([ぁ-ゖァ-ヺー・ 　]+\\)'), false) AS ruby FROM subs")
+def author_ruby(spark, sf_dir):
+    return tables.subtitles(spark, sf_dir).dropDuplicates(["row_id"]).select("row_id", duplicates.has_author_ruby(F.col("line")).alias("ruby"))
+
+
 # ------------------------------------------------------------------ keeping the index up to date
 
+
+@query(f"WITH {SOURCES} SELECT media, relpath FROM src WHERE source_id % 4 = 0")
+def reread_queue(spark, sf_dir):
+    from lineloom.plans import build
+
+    src = tables.sources(spark, sf_dir)
+    queue = src.select("media", "relpath", F.when(F.expr("source_id % 4 = 0"), F.col("file_hash")).otherwise("old").alias("file_hash"))
+    return build.valid_queue(queue, src).select("media", "relpath")
+
+
+@query(f"WITH {LINES} SELECT media, source_id, CASE WHEN source_id % 3 = 0 THEN 'lines' ELSE 'text' END AS fault FROM lines WHERE media = 'subs' AND (source_id % 3 = 0 OR source_id % 5 = 0) GROUP BY ALL")
+def repair_candidates(spark, sf_dir):
+    from lineloom.plans import build
+
+    stored = health.stored_counts(tables.subtitles(spark, sf_dir)).select("media", "source_id", "lines", "digest")
+    parsed = stored.withColumn("lines", F.when(F.expr("source_id % 3 = 0"), F.col("lines") + 1).otherwise(F.col("lines"))).withColumn("digest", F.when(F.expr("source_id % 5 = 0"), F.lit("x")).otherwise(F.col("digest")))
+    return build.repair_candidates(stored, parsed)
+
 #: The index as it was before: every ninth source unknown, every seventh with another hash, every fifth touched; every eleventh file gone.
 KNOWN_SQL = f"""{SOURCES}, known AS (SELECT relpath, file_size, CASE WHEN source_id % 5 = 0 THEN file_mtime_ns + 1 ELSE file_mtime_ns END AS file_mtime_ns, CASE WHEN source_id % 7 = 0 THEN 'old' ELSE file_hash END AS file_hash FROM src WHERE media = 'subs' AND source_id % 9 <> 0),
 disk AS (SELECT relpath, file_size, CASE WHEN source_id % 7 = 0 THEN file_mtime_ns + 2 ELSE file_mtime_ns END AS file_mtime_ns, file_hash FROM src WHERE media = 'subs' AND source_id % 11 <> 0)"""
