@@ -13,15 +13,14 @@ def context(lines: DataFrame, focus: DataFrame, before: int = 4, after: int = 4,
     their ``row_id``: a join on the id range asked for, not a window over whole files.
     """
     before, after = (max(0, min(10, n)) for n in (before, after))
-    once = lines.dropDuplicates(["row_id"])
-    here = focus.select("row_id").distinct().join(once.select("row_id", *bounds), "row_id")
+    ids = focus.select("row_id").distinct()
+    here = lines.join(ids, "row_id", "left_semi").select("row_id", *bounds).dropDuplicates(["row_id"])
     steps = F.explode(F.sequence(F.col("row_id") - before, F.col("row_id") + after))
     asked = here.select(F.col("row_id").alias("focus_id"), steps.alias("row_id"), *[F.col(b).alias(f"__{b}") for b in bounds])
-    same = [F.col(f"__{b}").eqNullSafe(F.col(b)) for b in bounds]
-    joined = once.join(asked, "row_id")
-    for s in same:
-        joined = joined.filter(s)
-    return joined.select("focus_id", *once.columns)
+    joined = lines.join(asked, "row_id")  # few rows are asked for: only they are moved, and taken once
+    for b in bounds:
+        joined = joined.filter(F.col(f"__{b}").eqNullSafe(F.col(b)))
+    return joined.select("focus_id", *lines.columns).dropDuplicates(["focus_id", "row_id"])
 
 
 def offsets(lines: DataFrame, group: tuple[str, ...] = ("source_id", "file")) -> DataFrame:
@@ -47,21 +46,37 @@ def episode_order(files: DataFrame, show: str = "folder", file: str = "file") ->
     return grouped.withColumn("episode", F.row_number().over(order)).drop("__any", "__split")
 
 
+def _nearest(points: DataFrame, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``points`` with the row of equal keys that is nearest to ``r``, the one before it where two are: as-of joins from both
+    sides, so that a text which stands in a million rows is not paired with each of them."""
+    from .joins import as_of
+
+    starts = rows.select(*keys, F.col("row_id").alias("start"), F.col("row_id").alias(f"{name}_before"))
+    back = as_of(points, starts, "r", "start", [f"{name}_before"], keys)
+    ends = rows.select(*keys, (-F.col("row_id")).alias("start"), F.col("row_id").alias(f"{name}_after"))
+    both = as_of(back.withColumn("__m", -F.col("r")), ends, "__m", "start", [f"{name}_after"], keys).drop("__m")
+    a, b = F.col(f"{name}_before"), F.col(f"{name}_after")
+    near = F.when(b.isNull() | (F.col("r") - a <= b - F.col("r")), a).otherwise(b)
+    return both.withColumn(name, F.coalesce(near, b)).drop(f"{name}_before", f"{name}_after")
+
+
 def relocate(lines: DataFrame, saved: DataFrame) -> DataFrame:
     """Saved rows found again: ``saved_id, row_id, how``; ``saved`` has ``saved_id, media, folder, file, row_id, text``.
 
     The same row with the same text (same), else the nearest row of the work with that text, its file first (moved), else
-    the row of the smallest id anywhere with that text (elsewhere), else none (gone).
+    the first row, by medium and id, anywhere with that text (elsewhere), else none (gone). Null texts are gone.
     """
-    rows = lines.select("media", "folder", "file", "row_id", F.col("line").alias("text")).dropDuplicates(["media", "row_id"])
-    once = saved.dropDuplicates(["saved_id"])
-    hits = once.select("saved_id", F.col("media").alias("m"), F.col("folder").alias("fo"), F.col("file").alias("fi"), F.col("row_id").alias("r"), "text").join(rows, "text")
-    here = (F.col("m") == F.col("media")) & (F.col("fo") == F.col("folder"))
-    how = F.when(here & (F.col("r") == F.col("row_id")), 0).when(here, 1).otherwise(2)
-    away = F.when(here, F.struct((F.col("fi") != F.col("file")).cast("int").alias("f"), F.abs(F.col("r") - F.col("row_id")).alias("d"))).otherwise(F.struct(F.lit(0).alias("f"), F.lit(0).cast("long").alias("d")))
-    best = hits.groupBy("saved_id").agg(F.min(F.struct(how.alias("how"), away.alias("away"), "media", "row_id")).alias("b"))
-    named = F.when(F.col("b").isNull(), "gone").when(F.col("b.how") == 0, "same").when(F.col("b.how") == 1, "moved").otherwise("elsewhere")
-    return once.select("saved_id").join(best, "saved_id", "left").select("saved_id", F.col("b.row_id").alias("row_id"), named.alias("how"))
+    columns = ["media", "folder", "file", "text"]
+    rows = lines.select("media", "folder", "file", "row_id", F.col("line").alias("text")).filter("text is not null").distinct()
+    once = saved.dropDuplicates(["saved_id"]).select("saved_id", *columns, F.col("row_id").cast("long").alias("r"))
+    same = once.join(rows.select("media", "folder", "text", F.col("row_id").alias("r")).distinct(), ["media", "folder", "text", "r"], "left_semi").select("saved_id", F.col("r").alias("row_id"), F.lit("same").alias("how"))
+    left = once.join(same.select("saved_id"), "saved_id", "left_anti")
+    near = _nearest(_nearest(left, rows, columns, "in_file"), rows, ["media", "folder", "text"], "in_work")
+    first = rows.groupBy("text").agg(F.min(F.struct("media", "row_id"))["row_id"].alias("anywhere"))
+    found = near.join(first, "text", "left")
+    moved = F.coalesce("in_file", "in_work")
+    how = F.when(moved.isNotNull(), "moved").when(F.col("anywhere").isNotNull(), "elsewhere").otherwise("gone")
+    return same.unionByName(found.select("saved_id", F.coalesce(moved, F.col("anywhere")).alias("row_id"), how.alias("how")))
 
 
 def page_edges(starts: list[int], total: int, offset: int, limit: int) -> tuple[int, int]:

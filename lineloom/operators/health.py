@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lineloom.functions.measure import text_digest
 from lineloom.functions.script import line_kind, mojibake
 
+from .running import positions
+
 #: Lines from which a verdict is given, and the shares and counts that decide it.
 LEAST_LINES, BILINGUAL, JAPANESE, BOOK_JAPANESE, GARBLED = 50, 0.02, 0.5, 0.3, 10
 
@@ -48,9 +50,19 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("media", "finding").agg(F.count("*").alias("files"))
 
 
+#: Lines of a source that are digested together.
+DIGEST_LINES = 1 << 16
+
+
 def stored_counts(lines: DataFrame) -> DataFrame:
-    """``media, source_id, lines, japanese, digest`` of what is stored of each source."""
-    once = lines.dropDuplicates(["media", "row_id"])
-    return once.groupBy("media", "source_id").agg(
-        F.count("*").alias("lines"), F.count_if(line_kind("line").isin("ja", "mix")).alias("japanese"), text_digest(F.col("row_id"), F.col("clean_text")).alias("digest")
-    )
+    """``media, source_id, lines, japanese, digest`` of what is stored of each source.
+
+    The digest is that of the lines in order, each with a newline; that of a source of more than DIGEST_LINES lines is the digest
+    of the digests of so many lines at a time, so that no source is gathered.
+    """
+    once = lines.dropDuplicates(["media", "row_id"]).select("media", "source_id", "row_id", "clean_text", line_kind("line").isin("ja", "mix").alias("ja"))
+    placed = positions(once, ["media", "source_id"], "row_id", "at").withColumn("part", F.floor((F.col("at") - 1) / DIGEST_LINES))
+    parts = placed.groupBy("media", "source_id", "part").agg(F.count("*").alias("n"), F.count_if("ja").alias("j"), text_digest(F.col("row_id"), F.col("clean_text")).alias("d"))
+    whole = parts.groupBy("media", "source_id").agg(F.sum("n").alias("lines"), F.sum("j").alias("japanese"), F.array_sort(F.collect_list(F.struct("part", "d"))).alias("ds"))
+    joined = F.sha2(F.array_join(F.transform("ds", lambda x: x["d"]), "\n"), 256)
+    return whole.select("media", "source_id", "lines", "japanese", F.when(F.size("ds") == 1, F.col("ds")[0]["d"]).otherwise(joined).alias("digest"))
