@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineloom.session import settle
+
 
 def context(lines: DataFrame, focus: DataFrame, before: int = 4, after: int = 4, bounds: tuple[str, ...] = ("source_id", "file")) -> DataFrame:
     """``focus_id`` and the rows from ``before`` rows before it to ``after`` after it within the same bounds.
@@ -52,12 +54,13 @@ def _nearest(points: DataFrame, rows: DataFrame, keys: list[str], name: str) ->
     from .joins import as_of
 
     starts = rows.select(*keys, F.col("row_id").alias("start"), F.col("row_id").alias(f"{name}_before"))
-    back = as_of(points, starts, "r", "start", [f"{name}_before"], keys)
+    # each join reads its points twice, so they are settled in between
+    back = settle(as_of(points, starts, "r", "start", [f"{name}_before"], keys), "before")
     ends = rows.select(*keys, (-F.col("row_id")).alias("start"), F.col("row_id").alias(f"{name}_after"))
     both = as_of(back.withColumn("__m", -F.col("r")), ends, "__m", "start", [f"{name}_after"], keys).drop("__m")
     a, b = F.col(f"{name}_before"), F.col(f"{name}_after")
     near = F.when(b.isNull() | (F.col("r") - a <= b - F.col("r")), a).otherwise(b)
-    return both.withColumn(name, F.coalesce(near, b)).drop(f"{name}_before", f"{name}_after")
+    return settle(both.withColumn(name, F.coalesce(near, b)).drop(f"{name}_before", f"{name}_after"), "nearest")
 
 
 def relocate(lines: DataFrame, saved: DataFrame) -> DataFrame:
@@ -67,10 +70,11 @@ def relocate(lines: DataFrame, saved: DataFrame) -> DataFrame:
     the first row, by medium and id, anywhere with that text (elsewhere), else none (gone). Null texts are gone.
     """
     columns = ["media", "folder", "file", "text"]
-    rows = lines.select("media", "folder", "file", "row_id", F.col("line").alias("text")).filter("text is not null").distinct()
+    rows = lines.select("media", "folder", "file", "row_id", F.col("line").alias("text")).filter("text is not null")
     once = saved.dropDuplicates(["saved_id"]).select("saved_id", *columns, F.col("row_id").cast("long").alias("r"))
     same = once.join(rows.select("media", "folder", "text", F.col("row_id").alias("r")).distinct(), ["media", "folder", "text", "r"], "left_semi").select("saved_id", F.col("r").alias("row_id"), F.lit("same").alias("how"))
-    left = once.join(same.select("saved_id"), "saved_id", "left_anti")
+    left = settle(once.join(same.select("saved_id"), "saved_id", "left_anti"), "saved")
+    rows = settle(rows.join(left.select("text").distinct(), "text", "left_semi"), "candidates")
     near = _nearest(_nearest(left, rows, columns, "in_file"), rows, ["media", "folder", "text"], "in_work")
     first = rows.groupBy("text").agg(F.min(F.struct("media", "row_id"))["row_id"].alias("anywhere"))
     found = near.join(first, "text", "left")
