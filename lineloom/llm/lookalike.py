@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,14 +59,52 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+@lru_cache
+def _touched() -> str:
+    """A character class of all that the expressions may change; texts without any only lose trailing space.
+
+    By rule: what is mapped, what shows nothing, and what composition changes or takes in.
+    """
+    width_from, _, alike_from, _ = _tables()
+    codes = {ord(c) for c in width_from + alike_from + "…‥"}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x32400), *range(0xE0000, 0xE1000)):
+        char = chr(code)
+        if unicodedata.category(char)[0] == "M" or unicodedata.normalize("NFC", char) != char or 0x1100 <= code < 0x1200:
+            codes.add(code)
+    ranges: list[list[int]] = []
+    for code in sorted(codes):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + INVISIBLE + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _mapped(step: str, old: str, new: str) -> str:
+    """``translate`` in parts, each only where the text holds a character of it: the map is made anew for every text."""
+    common = [i for i, c in enumerate(old) if "\uff01" <= c <= "\uff20" or c == "\u3000"]
+    letters = [i for i, c in enumerate(old) if "\uff21" <= c <= "\uff5e"]
+    rest = [i for i in range(len(old)) if i not in set(common) | set(letters)]
+    for part in (common, letters, rest):
+        if part:
+            a, b = "".join(old[i] for i in part), "".join(new[i] for i in part)
+            held = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in a) + "]"
+            step = f"list_transform([{step}], lambda m: CASE WHEN regexp_matches(m, '{held}') THEN translate(m, {_quoted(a)}, {_quoted(b)}) ELSE m END)[1]"
+    return step
+
+
+def _if_touched(column: str, step: str) -> str:
+    return f"CASE WHEN regexp_matches({column}, {_quoted(_touched())}) THEN {step} ELSE rtrim({column}) END"
+
+
 def uniform_sql(column: str) -> str:
     """The SQL expression that brings ``column`` to its uniform form."""
     width_from, width_to, alike_from, alike_to = _tables()
     step = f"regexp_replace({column}, {_quoted('[' + INVISIBLE + ']')}, '', 'g')"
-    step = f"translate({step}, {_quoted(width_from)}, {_quoted(width_to)})"
+    step = _mapped(step, width_from, width_to)
     step = f"replace(replace({step}, '…', '...'), '‥', '..')"
-    step = f"translate(nfc_normalize({step}), {_quoted(alike_from)}, {_quoted(alike_to)})"
-    return f"rtrim(nfc_normalize({step}))"
+    step = _mapped(f"nfc_normalize({step})", alike_from, alike_to)
+    return _if_touched(column, f"rtrim(nfc_normalize({step}))")
 
 
 # Letters of a word that may hold Latin look-alikes.
@@ -90,7 +129,7 @@ def readable_sql(column: str) -> str:
     width_from, width_to, *_ = _tables()
     latin_from, latin_to, kana_from, kana_to = _script_tables()
     step = f"regexp_replace({column}, {_quoted('[' + INVISIBLE + ']')}, '', 'g')"
-    step = f"rtrim(nfc_normalize(translate({step}, {_quoted(width_from)}, {_quoted(width_to)})))"
+    step = f"rtrim(nfc_normalize({_mapped(step, width_from, width_to)}))"
     words = f"regexp_extract_all(s, '[{_LETTERS}]+|[^{_LETTERS}]+')"
     latin = f"""CASE WHEN regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, {_quoted('[' + latin_from + ']')}) THEN
       array_to_string(list_transform({words}, lambda x: CASE WHEN regexp_matches(x, '[A-Za-z]') THEN translate(x, {_quoted(latin_from)}, {_quoted(latin_to)}) ELSE x END), '') ELSE s END"""
@@ -104,7 +143,9 @@ def readable_sql(column: str) -> str:
     has_kata, has_alike = f"regexp_matches({{0}}, {_quoted('[' + _KATA + ']')})", f"regexp_matches({{0}}, {_quoted('[' + kana_from + ']')})"
     kana = f"""CASE WHEN {has_kata.format('s')} AND {has_alike.format('s')} THEN
       array_to_string(list_transform(regexp_extract_all(s, {_quoted(f'[{either}]+|[^{either}]+')}), lambda x: CASE WHEN {has_kata.format('x')} AND {has_alike.format('x')} THEN {mended} ELSE x END), '') ELSE s END"""
-    return f"(SELECT {kana} FROM (SELECT {latin} AS s FROM (SELECT {step} AS s)))"
+    # a list of one binds the text that a step goes on with
+    step = f"list_transform([{step}], lambda s: {latin})[1]"
+    return _if_touched(column, f"list_transform([{step}], lambda s: {kana})[1]")
 
 
 def _with_sql(df: DataFrame, columns: dict[str, str]) -> DataFrame:
