@@ -191,6 +191,11 @@ def read_line(line: str, captions: bool = False) -> tuple[str | None, str | None
 
     ``captions``: a leading dash, star, number or angle is what a caption says, no list or quote.
     """
+    if not _MAYBE.search(line):  # none of the signs that syntax is made of
+        bare = line.strip()
+        if not bare:
+            return None, None, "blank", "", 0, 0.0
+        return None, None, "paragraph", bare, 0, 1 + sum(bare.count(c) for c in ",，、") + min(len(bare) / 50, 3)
     syntax = find_syntax(line, captions)
     event = code_event(line, syntax) if line else None
     kind, depth = "paragraph", 0
