@@ -29,7 +29,7 @@ TRAIN_DOCUMENTS, TRAIN_PIECES, SLOT_BITS, ROUNDS, PENALTY = 20_000, 1500, 15, 12
 SLOTS = 1 << SLOT_BITS
 #: Share of a text's lines, by characters, that must be notice or filler, the least certainty of a line no phrase decides,
 #: and the chance of being no text from which a line is suspected.
-MOST, CERTAIN, SUSPECT = 0.5, 0.8, 0.05
+MOST, CERTAIN, SUSPECT = 0.5, 0.8, 0.1
 #: Of the sources, one in so many is held out for validation.
 HELD_OUT = 5
 
