@@ -110,6 +110,43 @@ def _same_title(a: str, b: str) -> bool:
     return shape(a) == shape(b)
 
 
+# Items of an export that are no text.
+_CONTROLS = frozenset("追加 リンク 公式サイト".split())
+_LIST_ITEM = regex.compile(r"(\s*)(?:[-+*]|\d+[.)])\s+(.+)$")
+
+
+def navigation_items(rows: list[str], navigation: frozenset[str]) -> set[int]:
+    """The places of list items that only hold navigation: all that stands below them are addresses or links to pages, or such items."""
+    hidden: set[int] = set()
+    for at in range(len(rows) - 1, -1, -1):
+        item = _LIST_ITEM.match(rows[at])
+        if not item:
+            continue
+        depth = len(item[1].expandtabs(4))
+        below = []
+        for k in range(at + 1, len(rows)):
+            if rows[k].strip():
+                if len(rows[k]) - len(rows[k].lstrip()) <= depth:
+                    break
+                below.append(k)
+        named = item[2].strip() in _CONTROLS
+        if not below:
+            if named:
+                hidden.add(at)
+            continue
+
+        def useful(k: int) -> bool:
+            value = regex.sub(r"^(?:[-+*]|\d+[.)])\s+", "", rows[k].strip())
+            if k in hidden or _ADDRESS.fullmatch(value):
+                return False
+            left = replace_links(value, lambda image, label, to: "" if image or link_target(to) in navigation or _WEB.match(link_target(to)) else label)
+            return left == value or bool(left.strip())
+
+        if named or not any(map(useful, below)):
+            hidden.add(at)
+    return hidden
+
+
 def markdown_lines(text: str, title: str = "", navigation: frozenset[str] = frozenset()) -> list[tuple[str, bool, int, str | None]]:
     """(line, gap before, section, heading) of a Markdown file; headings open sections and are no lines.
 
@@ -124,6 +161,7 @@ def markdown_lines(text: str, title: str = "", navigation: frozenset[str] = froz
     if rows and rows[0].strip() == "---":
         start = next((k + 1 for k in range(1, len(rows)) if rows[k].strip() in ("---", "...")), 0)
     references = {m[1].casefold(): m[2] for r in rows[start:] if (m := _REFERENCE.match(r))}
+    erased |= navigation_items(rows, navigation)
     out: list[tuple[str, bool, int, str | None]] = []
     section, heading, gap, first, fence, table = 0, None, start > 0, True, None, False
     at = start

@@ -191,6 +191,11 @@ def test_markdown():
     assert texts.markdown_links("[a](b.md)\n```\n[c](d)\n```\n[r][]\n\n[r]: z") == [("a", "b.md", True), ("r", "z", True)]
 
 
+def test_lists_of_navigation_are_no_text():
+    text = "- 目次\n  - [一](a.md)\n  - https://e.example\n- 本文\n  - [二](b.md)の話\n- 追加\n"
+    assert [x[0] for x in texts.markdown_lines(text, "", frozenset({"a.md", "b.md"}))] == ["本文", "の話"]
+
+
 def test_trees():
     tag = " " + "0123456789abcdef" * 2
     pages = {f"本{tag}.md": f"[二](本{tag}/二{tag}.md)\n[一](本{tag}/一{tag}.md)", f"本{tag}/一{tag}.md": "x", f"本{tag}/二{tag}.md": "y", f"本{tag}/三{tag}.md": "z"}
