@@ -17,9 +17,12 @@ LEAST_LINES, BILINGUAL, JAPANESE, BOOK_JAPANESE, GARBLED = 50, 0.02, 0.5, 0.3, 1
 def kind_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, n, ja, zh, mix, en, garbled``: kinds of the lines of each file, rows delivered twice once."""
     once = lines.dropDuplicates(["media", "row_id"]).withColumn("kind", line_kind("line"))
-    bad = F.when(F.coalesce(F.col("line"), F.lit("")).rlike(r"[\x{80}-\x{ff}]"), mojibake("line")).otherwise(False)
     counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("ja", "zh", "mix", "en")]
-    return once.withColumn("bad", bad).groupBy(*keys).agg(F.count("*").alias("n"), *counts, F.count_if("bad").alias("garbled"))
+    counted = once.groupBy(*keys).agg(F.count("*").alias("n"), *counts)
+    # only lines with such characters go to Python; a condition around the function would not keep the others from it
+    odd = lines.filter(F.coalesce(F.col("line"), F.lit("")).rlike(r"[\x{80}-\x{ff}]")).dropDuplicates(["media", "row_id"])
+    bad = odd.groupBy(*keys).agg(F.count_if(mojibake("line")).alias("garbled"))
+    return counted.join(bad, keys, "left").fillna(0, ["garbled"])
 
 
 def language_verdict(media: Column, n: Column, ja: Column, zh: Column, mix: Column, en: Column, utf8: Column, garbled: Column) -> Column:

@@ -627,6 +627,11 @@ def line_kind_counts(spark, sf_dir):
     return health.kind_counts(tables.subtitles(spark, sf_dir), ["file"]).select("file", "n", "ja", "zh", "mix", "en")
 
 
+@query(None)
+def garbled_counts(spark, sf_dir):
+    return health.kind_counts(tables.subtitles(spark, sf_dir), ["file"]).filter("garbled > 0").select("file", "n", "garbled")
+
+
 @query(f"""WITH {FILES}, m AS (SELECT media, relpath, n, coalesce(ja, 0) AS ja, coalesce(zh, 0) AS zh, coalesce(mix, 0) AS mix, coalesce(en, 0) AS en, utf8 FROM newest)
 SELECT media, relpath, CASE WHEN n IS NULL OR n < 50 THEN NULL WHEN (zh + mix) / n >= 0.02 THEN 'bilingual'
 WHEN ja / (CASE WHEN ja + zh + mix + en >= 50 THEN ja + zh + mix + en ELSE n END) < 0.5 THEN CASE WHEN utf8 = false THEN 'encoding' ELSE 'other_language' END END AS finding FROM m""")
