@@ -62,10 +62,12 @@ _SENTENCE = regex.compile(r"(?<!\.\.)[。．.!?！？…](?!\.)")
 
 def vote(line: str) -> int | None:
     """The label on which the labelling functions agree, or None."""
-    said = bool(_SPOKEN.search(line) or _SAID.search(line))
     slot, field, notice, filler = bool(_SLOT.search(line)), bool(_FIELD.match(line)), bool(_NOTICE.search(line)), bool(_FILLER.search(line))
-    if said:
-        return 0 if (slot or notice or filler) or _SENTENCE.search(line) else None
+    found = slot or notice or filler
+    if not found and not field and _SENTENCE.search(line):
+        return 0
+    if _SPOKEN.search(line) or _SAID.search(line):
+        return 0 if found or _SENTENCE.search(line) else None
     if notice and filler or field and not slot:
         return None
     # a bare null beside an error, or a slot in filler, belongs to those
