@@ -55,12 +55,16 @@ def similar_pairs(keys: DataFrame, threshold: float) -> DataFrame:
     often = keys.groupBy("key").agg(F.count("*").alias("n"))
     ranked = keys.join(often, "key").filter("n > 1")
     sizes = keys.groupBy("doc").agg(F.count("*").alias("size"))
-    from pyspark.sql import Window
-
     # keys of one document only are the rarest: they stand before the others, and are counted, not joined
     lone = sizes.join(ranked.groupBy("doc").agg(F.count("*").alias("shared_keys")), "doc").withColumn("lone", F.col("size") - F.col("shared_keys"))
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("n", "key"))
-    prefix = ranked.withColumn("p", place).join(lone, "doc").filter(F.col("p") + F.col("lone") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("doc", "key", "size")
+    # how many keys of a document are rarer than those that stand n times: a sum over the few values of n, not a sort of its keys;
+    # of equally rare keys all are taken, which only adds to the prefix
+    from pyspark.sql import Window
+
+    by_n = ranked.groupBy("doc", "n").agg(F.count("*").alias("have"))
+    rarer = F.coalesce(F.sum("have").over(Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = by_n.withColumn("rarer", rarer).join(lone, "doc").filter(F.col("rarer") + F.col("lone") < F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+    prefix = ranked.join(wanted.select("doc", "n", "size"), ["doc", "n"]).select("doc", "key", "size")
     a, b = (prefix.select(F.col("doc").alias(x), "key", F.col("size").alias(f"size_{x}")) for x in "ab")
     fits = (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9) & (F.col("a") < F.col("b"))
     pairs = settle(a.join(b, "key").filter(fits).select("a", "b", "size_a", "size_b").distinct(), "pairs")
